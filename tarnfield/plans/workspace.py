@@ -10,10 +10,28 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    packed = Path(tempfile.mkdtemp(prefix="tarnfield-code-")) / "tarnfield_code.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(package.rglob("*")):
+            if p.is_file() and "__pycache__" not in p.parts:
+                out.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(packed))
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +52,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        ship(spark)
         self.root = f"{shared_dir(spark)}/tarnfield-{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
