@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnfield.llm.kd_shards import text_shards
 from tarnfield.llm.licences import LICENSE_SQL, document_licenses
+from tarnfield.llm.media import text_media
 from tarnfield.llm.mixing import MIX_SQL, mixed_documents
+from tarnfield.llm.superkmers import deduplicated_documents
+from tarnfield.llm.wfst import document_pieces
 
 
 def _over(table: str, apply: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,7 +20,10 @@ def _over(table: str, apply: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_media_columns": _over("documents", text_media),
         "op2_kd_shards": _over("documents", text_shards),
+        "op7_superkmer_dedup": _over("documents", deduplicated_documents),
+        "op8_wfst_pieces": _over("documents", document_pieces),
         "op9_license_scan": _over("documents", document_licenses),
         "op10_fair_mix": _over("documents", mixed_documents),
     }
