@@ -11,6 +11,7 @@ from tarnfield.llm.licences import LICENSE_SQL, document_licenses
 from tarnfield.llm.media import text_media
 from tarnfield.llm.mixing import MIX_SQL, mixed_documents
 from tarnfield.llm.pivots import near_embeddings
+from tarnfield.llm.shingle_join import document_components
 from tarnfield.llm.superkmers import deduplicated_documents
 from tarnfield.llm.wfst import document_pieces
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": _over("documents", text_media),
         "op2_kd_shards": _over("documents", text_shards),
+        "op5_shingle_join": _over("documents", document_components),
         "op6_pivot_neighbours": _over("embeddings", near_embeddings),
         "op7_superkmer_dedup": _over("documents", deduplicated_documents),
         "op8_wfst_pieces": _over("documents", document_pieces),
