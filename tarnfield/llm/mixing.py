@@ -58,8 +58,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
     return filled.withColumn("target", F.least(F.col("source_size").cast("double") * repeats, level * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
-def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, buckets: int = 1024) -> DataFrame:
-    """Columns of ``docs`` (source, text and doc_id are read) plus size, source_size, target and taken.
+def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, buckets: int = 1024, with_text: bool = False) -> DataFrame:
+    """Columns of ``docs`` (source, text and doc_id are read; text is kept only ``with_text``) plus size, source_size, target and taken.
 
     ``taken`` is the document's size times the passes of it that the mix holds.
     A null source is a source of its own, null and empty texts have size 0 and
@@ -68,6 +68,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int
     """
     made = ("size", "source_size", "target", "taken")
     keep = [c for c in docs.columns if c not in made]
+    held_columns = [c for c in keep if with_text or c != "text"]
     work = Workspace(docs.sparkSession, "mix")
     sized = docs.select(*keep, word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text")).alias("_order"))
     sized = sized.withColumn("_bucket", (F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
@@ -80,7 +81,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int
     placed = sized.join(starts, sized["source"].eqNullSafe(F.col("_source")) & (sized["_bucket"] == F.col("_b")))
     own = Window.partitionBy("_source", "_b").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.col("_start") + F.sum("size").over(own))
-    queue = work.save("queue", placed.select(*[c for c in keep if c != "text"], "size", "source_size", "target", "weight", "_end", "_order"))
+    queue = work.save("queue", placed.select(*held_columns, "size", "source_size", "target", "weight", "_end", "_order"))
     total = queue.agg(F.sum("size").alias("budget"), F.max((F.col("_end") + F.col("source_size") * (repeats - 1)) / F.col("weight")).alias("latest")).first()
     latest = total["latest"] or 1.0
     passes = queue.where("size > 0").select("size", F.explode(F.array(*[F.lit(p) for p in range(repeats)])).alias("_pass"), "_end", "source_size", "weight")
@@ -89,7 +90,7 @@ def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int
     # The entry that crosses the budget stays in if that ends nearer to it.
     last = -1 if cut is None else cut.key if 2 * ((total["budget"] or 0) - cut.below) >= cut.at else cut.key - 1
     held = sum((F.floor((F.col("_end") + F.col("source_size") * p) / F.col("weight") / latest * TICKS) <= last).cast("long") for p in range(repeats))
-    return queue.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * held).otherwise(0).cast("long")).select(*[c for c in keep if c != "text"], "size", "source_size", "target", "taken")
+    return queue.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * held).otherwise(0).cast("long")).select(*held_columns, "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
