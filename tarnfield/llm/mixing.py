@@ -53,8 +53,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
         "_before": F.coalesce(F.sum(F.col("source_size") * repeats).over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_left": F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)),
         "_all": F.sum("source_size").over(everything),
+        "_k": F.row_number().over(fill),
     }).withColumn("_level", (F.col("_all") - F.col("_before")) / F.col("_left"))
-    level = F.coalesce(F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything), F.lit(0.0))
+    # The first source, by how soon it runs dry, that the level leaves under its limit decides the level.
+    first = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_k", "_level"))).over(everything)
+    level = F.coalesce(first["_level"], F.lit(0.0))
     return filled.withColumn("target", F.least(F.col("source_size").cast("double") * repeats, level * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
@@ -107,10 +110,10 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY so
 r AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
 f AS (SELECT *, source_size * 3 / weight AS ratio FROM r),
 l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  SELECT *, row_number() OVER (ORDER BY ratio, encode(source) NULLS LAST) AS k, (sum(source_size) OVER () - coalesce(sum(source_size * 3) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY ratio, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM f),
-t AS (SELECT source, source_size, weight, least(CAST(source_size AS DOUBLE) * 3, coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), 0) * weight) AS target FROM l),
+t AS (SELECT source, source_size, weight, least(CAST(source_size AS DOUBLE) * 3, coalesce((SELECT level FROM l AS m WHERE level <= ratio ORDER BY k LIMIT 1), 0) * weight) AS target FROM l),
 q AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, d.o,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o ROWS UNBOUNDED PRECEDING) AS fin
