@@ -35,10 +35,11 @@ from tarnfield.plans.workspace import Workspace
 
 WINDOW, MINIMISER = 35, 3
 LONGEST_RUN = 256  # windows in one packed string
-FLUSH_BYTES = 48 << 20  # packed strings a task holds before it sends them
+FLUSH_BYTES = 32 << 20  # packed strings a task holds before it sends them
+PART_BYTES = 3 << 20  # text that is held as words at once
 BUCKET_WORDS = 400_000  # words of input a bucket stands for, at most about
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)  # odd 64-bit multipliers
-_VOCABULARY = 500_000
+_VOCABULARY = 300_000
 
 
 class _Hashes(dict):
@@ -118,14 +119,25 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def _parts(batch: pa.RecordBatch, name: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each, or one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def frequent_runs(rows: DataFrame, buckets: int, total: int, minimiser: int = MINIMISER) -> np.ndarray:
     """Hashes of word runs in a tenth of a bucket's share of places or more, sorted: at most 10 to a bucket and run length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Hashes()
         for batch in batches:
-            _, h, _ = _hashed(_binary(batch, "_text"), seen)
-            runs, n = np.unique(rolled(h, minimiser), return_counts=True)
+            counted = [np.unique(rolled(_hashed(_binary(part, "_text"), seen)[1], minimiser), return_counts=True) for part in _parts(batch, "_text")]
+            runs, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r for r, _ in counted]]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([np.zeros(0), *[c for _, c in counted]]), len(runs)).astype(np.int64)
             often = n >= 3
             yield pa.RecordBatch.from_arrays([pa.array(runs[often].view(np.int64)), pa.array(n[often])], names=["run", "n"])
 
@@ -155,7 +167,7 @@ class _Sender:
         got = self.strings.get(string)
         if got is None:
             self.strings[string] = [ref]
-            self.size += len(string) + 150
+            self.size += len(string) + 400
         else:
             got.append(ref)
 
@@ -189,7 +201,7 @@ def _cut(rows: DataFrame, frequent, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sender, often = _Hashes(), _Sender(buckets), frequent.value
         top = _u(1 << 63)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, "_text")):
             words, h, ends = _hashed(_binary(batch, "_text"), seen)
             starts = _window_starts(ends, WINDOW)
             if len(starts):
@@ -205,7 +217,7 @@ def _cut(rows: DataFrame, frequent, buckets: int) -> DataFrame:
                 doc = np.searchsorted(ends, starts[first], side="right")
                 begin = np.where(doc > 0, ends[doc - 1], 0)
                 to = (spread(least[first]) % _u(buckets)).astype(np.int64).tolist()
-                k1, k2 = batch.column("_k1").to_numpy(), batch.column("_k2").to_numpy()
+                k1, k2 = batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist()
                 for s, n, d, b, bucket in zip(starts[first].tolist(), size.tolist(), doc.tolist(), begin.tolist(), to, strict=True):
                     sender.add(b" ".join(words[s : s + n + WINDOW - 1]), (bucket, k1[d], k2[d], s - b, n))
             if sender.size >= FLUSH_BYTES:
@@ -249,30 +261,25 @@ def _counted(table: pa.Table) -> pa.Table:
         bodies.append(raw[n * 40 :])
     meta = np.concatenate(metas)
     words = b"\n".join(bodies).split()
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    del words, bodies
+    del bodies
     ends = np.cumsum(meta[:, 3] + WINDOW - 1)
     starts = _window_starts(ends, WINDOW)
     owner = np.repeat(np.arange(len(meta)), meta[:, 3])
-    h = rolled(spread(ids.astype(np.uint64) + _u(_MIX[0])), WINDOW)[starts]
+    h = rolled(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), WINDOW)[starts]
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     group = np.concatenate([[0], np.cumsum(~same)])
     lead = order[np.concatenate([[0], np.flatnonzero(~same) + 1])][group]  # the group's first window
     tied = np.flatnonzero(order != lead)
-    wrong = np.zeros(0, np.int64)
-    for part in np.array_split(tied, max(1, len(tied) // 100_000)):
-        differs = (ids[starts[order[part]][:, None] + np.arange(WINDOW)] != ids[starts[lead[part]][:, None] + np.arange(WINDOW)]).any(1)
-        wrong = np.append(wrong, part[differs])
+    wrong = [i for i, a, b in zip(tied.tolist(), starts[order[tied]].tolist(), starts[lead[tied]].tolist(), strict=True) if words[a : a + WINDOW] != words[b : b + WINDOW]]
     weight = np.bincount(group, 1 + meta[owner[order], 4])
     again = np.zeros(len(starts), bool)
     again[order] = weight[group] > 1
     for g in np.unique(group[wrong]):  # different windows of one hash: compare all of that hash
         inside = order[group == g]
-        by: dict[bytes, list[int]] = {}
+        by: dict[tuple, list[int]] = {}
         for w in inside.tolist():
-            by.setdefault(ids[starts[w] : starts[w] + WINDOW].tobytes(), []).append(w)
+            by.setdefault(tuple(words[starts[w] : starts[w] + WINDOW]), []).append(w)
         for at in by.values():
             again[at] = sum(1 + meta[owner[w], 4] for w in at) > 1
     again &= meta[owner, 4] == 0  # the others are known already
