@@ -36,7 +36,7 @@ BUCKETS = 1 << 16
 TEXT_WEIGHT = 30.0
 SMOOTH = {"domain": 20.0, "host": 10.0, "suffix": 200.0, "declared": 5.0}
 SAME_CODE = 0.8  # prior probability that a page declares the language it is in
-SURE = 0.6  # posterior below which a language stays undetermined
+SURE = 0.4  # posterior below which a language stays undetermined
 UNDETERMINED = "und"
 _SCALE = 1_000_000
 _FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.llm.graph import components
-from tarnfield.llm.superkmers import _binary, _Hashes, _is_in, _u, rolled, spread
+from tarnfield.llm.superkmers import _binary, _Hashes, _is_in, _parts, _u, rolled, spread
 from tarnfield.plans.workspace import Workspace
 
 FREQUENT, VERY_FREQUENT = 20, 2000  # documents of a token, of those that tasks counted, to be in class 2 and 3
@@ -84,8 +84,9 @@ def frequent_tokens(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(words)
         for batch in batches:
-            sets = [make.of(t) for t in _binary(batch, "text")]
-            tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            counted = [np.unique(np.concatenate([make.of(t) for t in _binary(part, "text")]), return_counts=True) for part in _parts(batch, "text")]
+            tokens, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in counted]]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([np.zeros(0), *[c for _, c in counted]]), len(tokens)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["token", "n"])
 
     counted = texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -125,7 +126,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, ran
         if band == 0:
             out.append(spread(common[:missing] ^ salt))
             continue
-        bins = max(1, (1 << band) >> 5)
+        bins = max(1, ((1 << band) - least_overlap(1 << band, percent)) // 3)
         size = np.where(level >= VERY_FREQUENT, 3, 2)
         group = (spread(common) % _u(bins)).astype(np.int64) * 4 + size
         held: dict[int, list[int]] = {}
@@ -156,7 +157,7 @@ def _indexed(texts: DataFrame, given, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(words)
         frequent, counts, rank = given.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, "text")):
             n, often, boxes, flat, ends = [], [], [], [], [0]
             for t in _binary(batch, "text"):
                 tokens = make.of(t)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.llm.superkmers import _parts
 from tarnfield.plans.workspace import ship
 
 WINDOW, STEP = 32, 16  # words
@@ -32,6 +33,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 16, 12, 8
 RUNS, RUN_LENGTHS = 1 << 14, (3, 5)
 THRESHOLD = 0.3
 _KNOWN_WORDS = 150_000
+_PART_BYTES = 2 << 20  # text that is scored at once
 _LEVEL = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))  # ASCII marks separate words
 
 
@@ -284,8 +286,7 @@ def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(*given.value)
         for batch in batches:
-            parts = [batch.slice(a, 500) for a in range(0, batch.num_rows, 500)]
-            scores = [net.score([t or "" for t in p.column(text).to_pylist()]) for p in parts]
+            scores = [net.score([t or "" for t in p.column(text).to_pylist()]) for p in _parts(batch, text, _PART_BYTES)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*keep, "score"])
 
     return docs.mapInArrow(run, schema)
