@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -48,7 +49,7 @@ def rows_of(frame):
     """Rows with columns by name, floats to 6 digits, sorted: for comparing results of two engines."""
 
     def cell(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x):
             return "~"
         return f"{x:.6g}" if isinstance(x, float) else str(x)
 
