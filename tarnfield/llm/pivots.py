@@ -29,12 +29,12 @@ from tarnfield.llm.graph import components, forest
 from tarnfield.plans.workspace import Workspace
 
 SAMPLE = 4096  # vectors that points and leaders are fitted on
-POINTS = (128, 1024)  # least and most reference points: rows / ROWS_PER_POINT between these
-ROWS_PER_POINT = 64
+POINTS = (64, 1024)  # least and most reference points: the root of twice the rows, so lists stay about as long, between these
 NEAREST = 6
 APART = 0.5  # cosine that two reference points stay below, where the sample allows
 LINK = 0.95
 BALL = float(np.degrees(np.arccos(LINK))) / 2 - 0.01
+BUCKET_ROWS = 4000  # vectors that a bucket of lists stands for, at most
 BLOCK = 2048  # rows of one block of products
 
 
@@ -56,7 +56,7 @@ def unit(batch_column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def fit(sample: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(reference points, leaders of dense balls) from a sample of unit vectors."""
-    want = min(max(POINTS[0], rows // ROWS_PER_POINT), POINTS[1])
+    want = min(max(POINTS[0], int((2 * rows) ** 0.5)), POINTS[1])
     close = sample @ sample.T if len(sample) else np.zeros((0, 0))
     points: list[int] = []
     for apart in (APART, 0.9, 0.99, 2.0):
@@ -114,15 +114,22 @@ def _mapped(rows: DataFrame, points: np.ndarray, leaders: np.ndarray) -> DataFra
     return rows.mapInArrow(run, "id long, ball int, halos array<int>, nearest array<int>, vector binary")
 
 
-def _list_links(table: pa.Table) -> pa.Table:
-    """What one inverted list adds: id, n (links decided here), root (least id of its tree here)."""
-    n = table.num_rows
-    ids = table.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    x = np.stack([np.frombuffer(v, np.float64) for v in table.column("vector").to_pylist()])[order]
-    near = np.array(table.column("nearest").to_pylist())[order]
-    p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+def _bucket_links(table: pa.Table) -> pa.Table:
+    """What the inverted lists of one bucket add: id, n (links decided here), root (least id of its tree here)."""
+    table = table.sort_by([("p", "ascending"), ("q", "ascending"), ("id", "ascending")])
+    p, q, ids = (table.column(c).to_numpy() for c in ("p", "q", "id"))
+    vectors = table.column("vector").combine_chunks()
+    x = np.frombuffer(b"".join(vectors.to_pylist()), np.float64).reshape(len(ids), -1)
+    near = np.array(table.column("nearest").to_pylist()).reshape(len(ids), -1)
+    edge = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+    found = [_list_links(p[a], q[a], ids[a:b], x[a:b], near[a:b]) for a, b in zip(edge, np.append(edge[1:], len(ids)), strict=True) if b - a > 1]
+    columns = [np.concatenate([np.zeros(0, np.int64), *part]) for part in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+    return pa.table(dict(zip(("id", "n", "root"), columns, strict=True)))
+
+
+def _list_links(p: int, q: int, ids: np.ndarray, x: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, links, roots) of the members of one list that have links; ``ids`` ascend."""
+    n = len(ids)
     counts = np.zeros(n, np.int64)
     found_i, found_j = [np.zeros(0, int)], [np.zeros(0, int)]
     for a in range(0, n, BLOCK):
@@ -130,6 +137,8 @@ def _list_links(table: pa.Table) -> pa.Table:
             i, j = np.nonzero(x[a : a + BLOCK] @ x[b : b + BLOCK].T >= LINK)
             i, j = i + a, j + b
             ahead = i < j
+            if not ahead.any():
+                continue
             for part in np.array_split(np.flatnonzero(ahead), max(1, int(ahead.sum()) // 200_000)):
                 u, v = i[part], j[part]
                 shared = (near[u][:, :, None] == near[v][:, None, :]).any(2)  # near is ascending: the first two shared points name the list
@@ -143,7 +152,7 @@ def _list_links(table: pa.Table) -> pa.Table:
                 found_j.append(v)
     root = forest(n, np.concatenate(found_i), np.concatenate(found_j))
     linked = counts > 0
-    return pa.table({"id": ids[linked], "n": counts[linked], "root": ids[root[linked]]})
+    return ids[linked], counts[linked], ids[root[linked]]
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -161,7 +170,8 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     given = rows.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("_v"))
     sample = given.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     x, fine = unit(sample.column("_v"))
-    points, leaders = fit(x[fine], given.count())
+    total = given.count()
+    points, leaders = fit(x[fine], total)
     if not len(points):
         return rows.select(*keep, F.lit(0).cast("long").alias("n_links"), F.col(vec_id).alias("component_id"), F.lit(True).alias("kept"))
     mapped = work.save("mapped", _mapped(given, points, leaders))
@@ -170,9 +180,10 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
     in_ball = F.col("ball").isin(alone) if alone else F.lit(False)
     balls = mapped.where(in_ball).groupBy("ball").agg((F.count("*") - 1).alias("n"), F.min("id").alias("root"))
     balled = mapped.where(in_ball).join(F.broadcast(balls), "ball").select("id", "n", "root")
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_ROWS + 1)
     pairs = [F.struct(F.get("nearest", F.lit(i)).alias("p"), F.get("nearest", F.lit(j)).alias("q")) for i in range(NEAREST) for j in range(i + 1, NEAREST)]
     lists = mapped.where(~in_ball).select("id", "vector", "nearest", F.explode(F.filter(F.array(*pairs), lambda s: s["q"].isNotNull())).alias("_l")).select("id", "vector", "nearest", "_l.p", "_l.q")
-    links = work.save("links", lists.groupBy("p", "q").applyInArrow(_list_links, "id long, n long, root long").unionByName(balled))
+    links = work.save("links", lists.groupBy(F.pmod(F.xxhash64("p", "q"), F.lit(buckets)).alias("bucket")).applyInArrow(_bucket_links, "id long, n long, root long").unionByName(balled))
     counts = links.groupBy("id").agg(F.sum("n").alias("_n"))
     roots = components(work, links.select(F.col("id").alias("a"), F.col("root").alias("b")))
     found = counts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumnRenamed("id", "_id")
