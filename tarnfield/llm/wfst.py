@@ -11,7 +11,8 @@ merge-based segmentation, and the tropical shortest path is found depth first,
 longest piece first, remembering dead states.
 
 No piece holds U+2581 behind another character (checked at compile time), so no
-merge crosses a word start and each word is composed by itself and remembered.
+merge crosses a word start and each word is composed by itself and remembered;
+in the same way a word falls apart between characters that no piece joins.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,7 +31,7 @@ from tarnfield.plans.workspace import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_UNITS = 200_000  # words remembered per worker
+_UNITS = 700_000  # words remembered per worker
 _PAIRS = 2_000_000  # acceptor arcs remembered per worker
 # Fixed by the model format: kinds of pieces.
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -60,6 +62,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class _Arcs(dict):
+    """Lengths of the pieces that may start where the next three characters are these, the longest first; 1 is always among them."""
+
+    def __init__(self, pieces):
+        super().__init__()
+        self.pieces = frozenset(p for p in pieces if len(p) < 3)
+        longer: dict[str, set[int]] = {}
+        for p in pieces:
+            if len(p) > 2:
+                longer.setdefault(p[:3], set()).add(len(p))
+        self.longer = longer
+
+    def __missing__(self, start: str) -> tuple[int, ...]:
+        two = {2} if len(start) > 1 and start[:2] in self.pieces else set()
+        found = tuple(sorted(self.longer.get(start, set()) | two | {1}, reverse=True))
+        if len(self) < _UNITS:
+            self[start] = found
+        return found
+
+
 class Transducer:
     """The compiled machine."""
 
@@ -93,57 +115,63 @@ class Transducer:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece crosses a word start")
         self.rank = {p: i for i, p in enumerate(sorted(scores, key=lambda p: -scores[p]))}
-        self.longest = max(map(len, self.ids))
+        self.arcs = _Arcs(self.ids)
+        self.glued = frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
         self.joined: dict[tuple[str, str], bool] = {}
         self.units: dict[str, tuple[int, ...]] = {}
-        self.byte_ids = frozenset(self.bytes_.values())
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.is_byte = np.zeros(len(self.out), bool)
+        self.is_byte[list(self.bytes_.values())] = True
 
     def _merged(self, text: str) -> list[str]:
+        rank, none = self.rank.get, len(self.rank)
         parts = list(text)
-        while len(parts) > 1:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                r = self.rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, where = r, i
-            if best is None:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
     def _accepts(self, left: str, right: str) -> bool:
         """Whether the acceptor has an arc of weight 0 for the pair; ``left`` is empty at the start."""
-        got = self.joined.get((left, right))
-        if got is None:
-            if len(self.joined) >= _PAIRS:
-                self.joined.clear()
-            got = self.joined[left, right] = self._merged(left + right) == ([left, right] if left else [right])
+        if len(self.joined) >= _PAIRS:
+            self.joined.clear()
+        # A pair that is a piece itself merges on.
+        got = self.joined[left, right] = (not left or left + right not in self.rank) and self._merged(left + right) == ([left, right] if left else [right])
         return got
 
     def _shortest(self, unit: str) -> tuple[int, ...]:
         """Ids of the finite path over one word."""
         n, path, dead = len(unit), [], set()
-        # One open state per arc taken: its position, the piece before it, and the next length to try.
-        at, last, width = 0, "", min(self.longest, n)
+        ids, joined, arcs = self.ids, self.joined, self.arcs
+        # The open state: its position, the piece before it, the lengths of its arcs and the next of them to try.
+        at, last, widths, turn = 0, "", arcs[unit[:3]], 0
         while at < n:
-            while width:
-                piece = unit[at : at + width]
-                known = piece in self.ids
-                if (known or width == 1) and (at + width, piece) not in dead and self._accepts(last, piece):
-                    path.append((at, last, width))
-                    at, last = at + width, piece
-                    width = min(self.longest, n - at)
-                    break
-                width -= 1
-            else:
+            if turn == len(widths):
                 dead.add((at, last))
                 if not path:
                     raise ValueError("no finite path")
-                at, last, width = path.pop()
-                width -= 1
+                at, last, widths, turn = path.pop()
+                continue
+            width = widths[turn]
+            turn += 1
+            end = at + width
+            piece = unit[at:end]
+            if end > n or (width > 1 and piece not in ids):
+                continue
+            ok = joined.get((last, piece))
+            if (self._accepts(last, piece) if ok is None else ok) and not (dead and (end, piece) in dead):
+                path.append((at, last, widths, turn))
+                at, last, widths, turn = end, piece, arcs[unit[end : end + 3]], 0
         out: list[int] = []
-        for start, _, width in path:
-            piece = unit[start : start + width]
+        starts = [p[0] for p in path]
+        for start, end in zip(starts, [*starts[1:], n], strict=True):
+            piece = unit[start:end]
             if piece in self.ids:
                 out.append(self.ids[piece])
             elif self.bytes_:
@@ -152,6 +180,23 @@ class Transducer:
                 out.append(self.unknown)
         return tuple(out)
 
+    def _unit(self, unit: str) -> tuple[int, ...]:
+        """Ids of one word. No arc spans two neighbouring characters that no piece holds, so the word falls apart there."""
+        glued = self.glued
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in glued]
+        if not cuts:
+            return self._shortest(unit)
+        parts, out = self.parts, []
+        for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True):
+            part = unit[a:b]
+            got = parts.get(part)
+            if got is None:
+                if len(parts) >= _UNITS:
+                    parts.clear()
+                got = parts[part] = self.units.get(part) or self._shortest(part)
+            out += got
+        return tuple(out)
+
     def encode(self, text: str) -> array:
         """Piece ids of ``text``; none for an empty one."""
         ids = array("i")
@@ -162,7 +207,7 @@ class Transducer:
         for unit in _WORD.findall(text):
             got = units.get(unit)
             if got is None:
-                got = self._shortest(unit)
+                got = self._unit(unit)
                 if len(units) >= _UNITS:
                     units.clear()
                 units[unit] = got
@@ -172,7 +217,7 @@ class Transducer:
     def decode(self, ids) -> str:
         """The text of ``ids``, without the leading space that encoding adds."""
         out = self.out
-        data = b"".join([out[i] for i in ids])
+        data = b"".join(map(out.__getitem__, ids))
         if self.prefix and data.startswith(b" "):
             data = data[1:]
         return data.decode("utf-8", "replace")
@@ -244,7 +289,7 @@ def document_pieces(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 ids = machine.encode(t)
                 back = machine.decode(ids)
                 n.append(len(ids))
-                n_bytes.append(sum(i in machine.byte_ids for i in ids))
+                n_bytes.append(int(machine.is_byte[np.frombuffer(ids, np.int32)].sum()) if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == t)
