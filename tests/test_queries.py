@@ -24,3 +24,19 @@ def test_entry_imports():
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_recall_asks_every_vector(spark, small):
+    rows = catalog.eval_recall_mrr_whole(spark, small).collect()
+    labels = [r["label"] for r in spark.read.parquet(f"{small}/embeddings.parquet").select("label").collect()]
+    assert {r["category"]: r["n"] for r in rows} == {None: len(labels)} | {x: labels.count(x) for x in labels}
+
+
+def test_blocks_find_what_the_join_finds(spark, monkeypatch):
+    from tarnfield.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "BLOCK", 2)  # leaves some blocks empty
+    given = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(60)]
+    vectors, asked = spark.createDataFrame(given, "id long, v array<float>"), spark.createDataFrame([(i, 0, v) for i, v in given], "qid long, sub int, qv array<float>")
+    got, want = (sorted(map(tuple, f(asked, vectors, 6).select("qid", "sub", "id", "score", "rn").collect())) for f in (retrieve.dense_topk_blocks, retrieve.dense_topk))
+    assert got == want and len(got) == 360
