@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from tarnfield.plans.workspace import Workspace
 
 SAMPLE = 1500  # labelled texts per language that the trigram model is fitted on, at most
-SAMPLE_BYTES = 20_000  # longest of these
+SAMPLE_BYTES = 20_000  # longest of these; of a language that has only longer ones, their beginnings
 BUCKETS = 1 << 16
 TEXT_WEIGHT = 30.0
 SMOOTH = {"domain": 20.0, "host": 10.0, "suffix": 200.0, "declared": 5.0}
 SAME_CODE = 0.8  # prior probability that a page declares the language it is in
 SURE = 0.4  # posterior below which a language stays undetermined
+UNLIKE = -10.5  # mean log likelihood of a trigram under the best language, below which a text is in none of them (by chance: -11.09)
 UNDETERMINED = "und"
 _SCALE = 1_000_000
 _FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
@@ -54,10 +55,16 @@ def trigrams(text: bytes) -> np.ndarray:
 def fit_text(texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """(languages, BUCKETS x languages log probabilities)."""
     names = sorted(set(langs))
-    counts = np.full((BUCKETS, len(names)), 0.05)
+    own = {name: [] for name in names}
     for t, lang in zip(texts, langs, strict=True):
-        counts[:, names.index(lang)] += np.bincount(trigrams(t), minlength=BUCKETS)
-    return names, np.log(counts / counts.sum(0)).astype(np.float32)
+        own[lang].append(t)
+    table = np.empty((BUCKETS, len(names)), np.float32)
+    for i, name in enumerate(names):
+        counts = np.full(BUCKETS, 0.05)
+        for t in own[name]:
+            counts += np.bincount(trigrams(t), minlength=BUCKETS)
+        table[:, i] = np.log(counts / counts.sum())
+    return names, table
 
 
 _SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
@@ -125,8 +132,8 @@ def fused(rows: DataFrame, model: tuple[list[str], np.ndarray], body: str, parts
     work = Workspace(rows.sparkSession, "language")
     keep = [c for c in rows.columns if c not in (body, "_declared", "host", "domain", "suffix")]
     weight = F.least(F.col("_n").cast("double"), F.lit(TEXT_WEIGHT))
-    seen = _evidence(rows, model, body, parts).withColumn("_t", F.transform("_t", lambda x: x * weight))
-    alone = F.transform(_shares(F.col("_t")), lambda p: F.when(F.col("_n") > 0, F.round(p * _SCALE)).otherwise(0).cast("long"))
+    seen = _evidence(rows, model, body, parts).withColumn("_like", (F.col("_n") > 0) & (F.array_max("_t") >= UNLIKE)).withColumn("_t", F.transform("_t", lambda x: x * weight))
+    alone = F.transform(_shares(F.col("_t")), lambda p: F.when(F.col("_like"), F.round(p * _SCALE)).otherwise(0).cast("long"))
     seen = work.save("evidence", seen.withColumn("_r", alone))
     sums = [F.coalesce(F.sum(F.get("_r", F.lit(i))), F.lit(0)) for i in range(k)]
     total = seen.agg(F.array(*sums).alias("s")).first()["s"]
@@ -158,26 +165,31 @@ def fused(rows: DataFrame, model: tuple[list[str], np.ndarray], body: str, parts
     logs = F.transform(F.arrays_zip("_t", "_host", "_suffix", "_code"), lambda x: x["_t"] + F.log(x["_host"]) + F.log(x["_suffix"]) + F.log(x["_code"]))
     joined = joined.withColumn("_logs", logs).withColumn("_q", F.transform(_shares(F.col("_logs")), lambda q: F.round(q, 6)))
     joined = joined.withColumn("_best", F.array_max("_q"))
-    lang = F.when((F.col("_n") > 0) & (F.col("_best") >= sure), F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("_q", F.col("_best")).cast("int"))).otherwise(UNDETERMINED)
+    lang = F.when(F.col("_like") & (F.col("_best") >= sure), F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("_q", F.col("_best")).cast("int"))).otherwise(UNDETERMINED)
     return joined.select(*keep, lang.alias("lang_id"), F.when(F.col("_n") > 0, F.col("_best")).otherwise(0.0).alias("confidence"), F.col("_declared").alias("declared"), "suffix", "host")
 
 
 def text_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The trigram model of at most ``sample`` labelled texts of each language, hash-ordered."""
-    short = docs.where(F.col("lang").isNotNull() & (F.octet_length("text").between(1, SAMPLE_BYTES))).select("lang", "text", "doc_id")
-    langs = [r["lang"] for r in short.groupBy("lang").count().where("count >= 5").orderBy(F.desc("count"), "lang").limit(64).collect()]
-    rows = []
-    for lang in sorted(langs):
-        rows += short.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect()
+    """The trigram model of every labelled language, of at most ``sample`` texts of each, hash-ordered; without labels, one that no text is like."""
+    fits = F.octet_length("text") <= SAMPLE_BYTES
+    labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "doc_id", fits.alias("fits"))
+    found = labelled.groupBy("lang").agg(F.count("*").alias("all"), F.count(F.when(F.col("fits"), 1)).alias("short")).collect()
+    long = [r["lang"] for r in found if not r["short"]]
+    usable = labelled.where(F.col("fits") | F.col("lang").isin(long)).drop("fits")
+    often = sorted(r["lang"] for r in found if (r["short"] or r["all"]) > sample)
+    rows = usable.where(~F.col("lang").isin(often)).collect() if len(often) < len(found) else []
+    for lang in often:
+        rows += usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect()
     if not rows:
-        return ["en"], np.zeros((BUCKETS, 1), np.float32)
+        return ["en"], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
     return fit_text([r["text"].encode() for r in rows], [r["lang"] for r in rows])
 
 
 def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang_id, confidence, declared, suffix and host of every page.
 
-    A page without letters is undetermined with confidence 0; null or malformed
+    A page without letters is undetermined with confidence 0, and one that is like
+    no modelled language is undetermined too; null or malformed
     addresses and markup without a language are no evidence; repeated rows are
     judged alike, an empty table gives an empty result.
     """

@@ -194,6 +194,18 @@ def test_host_prior_decides_what_text_leaves_open(spark):
     assert got[99] > 0.9 > got[98]
 
 
+def test_every_labelled_language_is_modelled(spark):
+    def words(i):
+        return " ".join("".join(chr(97 + x) for x in np.random.default_rng([i, j]).integers(0, 26, 4)) for j in range(12))
+
+    rows = [(i, f"l{i:02}", words(i)) for i in range(70)] + [(70, "long", "vyzq kwjx " * 3000)]
+    names, table = model = language.text_model(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert names == [*(f"l{i:02}" for i in range(70)), "long"] and table.shape == (language.BUCKETS, 71)
+    asked = [(i, None, "s", words(i)) for i in (0, 69)] + [(70, None, "s", "kwjx vyzq kwjx"), (71, None, "s", "Это проверка определения языка этого текста")]
+    got = {r["doc_id"]: r["lang_id"] for r in language.document_languages(spark.createDataFrame(asked, "doc_id long, lang string, source string, text string"), model).collect()}
+    assert got == {0: "l00", 69: "l69", 70: "long", 71: "und"}
+
+
 # --- 5: shingle join ---
 
 
