@@ -31,6 +31,7 @@ STEPS, BATCH, RATE = 350, 64, 0.01
 SEEN_IN = 4  # training documents that must hold a word for it to get a vector
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 16, 12, 8
 RUNS, RUN_LENGTHS = 1 << 14, (3, 5)
+LONGEST = 64  # bytes of a word; longer ones are read as several
 THRESHOLD = 0.3
 _KNOWN_WORDS = 150_000
 _PART_BYTES = 2 << 20  # text that is scored at once
@@ -38,12 +39,17 @@ _LEVEL = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))  #
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().translate(_LEVEL).split()
+    """Words in order; one over ``LONGEST`` bytes as pieces of it that overlap, so that each of its character runs is whole in one."""
+    words = text.encode().lower().translate(_LEVEL).split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    back = max(RUN_LENGTHS) - 1
+    return [w[a : a + LONGEST] for w in words for a in range(0, max(1, len(w) - back), LONGEST - back)]
 
 
 def char_runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all words' character runs in turn, number of runs of each word); ends of words are marked."""
-    marked = [b"<" + w[:64] + b">" for w in words]
+    marked = [b"<" + w + b">" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
     begin = np.cumsum(size) - size

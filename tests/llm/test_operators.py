@@ -173,6 +173,17 @@ def test_score_of_whole_text_is_its_highest_window():
     assert whole == pytest.approx(parts.max(), abs=1e-6)
 
 
+def test_long_words_are_read_to_their_end():
+    net = toxicity.Network.fresh({})
+    a, b = net.score(["中文字" * 20 + "好" * 10, "中文字" * 20 + "坏" * 10])
+    assert a != b
+    word = bytes(np.random.default_rng(5).integers(97, 123, 200).tolist())
+    for n in (1, 63, 64, 65, 124, 125, 200):
+        pieces = toxicity.words_of(word[:n].decode())
+        assert {word[i : i + 5] for i in range(n - 4)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+        assert pieces[-1].endswith(word[n - 1 : n]) and max(map(len, pieces)) <= 64
+
+
 # --- 4: language ---
 
 
