@@ -27,11 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. Rows that repeat that id are one document."""
-    found = text_components(docs.select(*COLUMNS), words=NEAR_WORDS, percent=NEAR_PERCENT)
+    """One document of each group of near copies: the one with the least id. Rows of the group that repeat that id are one document."""
+    found = text_components(docs.select(*COLUMNS), words=NEAR_WORDS, percent=NEAR_PERCENT, rooted=True)
     lone = F.col("component_id").isNull()  # no row of the group has an id
     kept = found.where(lone | (F.col("doc_id") == F.col("component_id")))
-    return kept.where(~F.coalesce(lone, F.lit(False))).dropDuplicates(["doc_id"]).unionByName(kept.where(lone)).select(*COLUMNS)
+    return kept.where(~F.coalesce(lone, F.lit(False))).dropDuplicates(["root", "doc_id"]).unionByName(kept.where(lone)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

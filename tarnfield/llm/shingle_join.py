@@ -255,15 +255,15 @@ def _across(lists: DataFrame, parts: int, percent: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
-def text_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` plus n_shingles and component_id.
+def text_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, percent: int = 90, rooted: bool = False) -> DataFrame:
+    """``docs`` plus n_shingles and component_id; if ``rooted``, also root, which differs between components even if they repeat an id.
 
     Null texts and texts without words have no shingles and link with nothing,
     so each is its own component. Equal texts link with each other, and are
     compared with others once. Rows without id take part, but name no component.
     An empty table gives an empty result; columns named like results are replaced.
     """
-    made = ("n_shingles", "component_id")
+    made = ("n_shingles", "component_id", *["root"] * rooted)
     keep = [c for c in docs.columns if c not in made]
     spark = docs.sparkSession
     work = Workspace(spark, "shingles")
@@ -295,10 +295,11 @@ def text_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = texts.select("t1", "t2", "tid", "least").join(index.select("tid", "n"), "tid").join(roots.toDF("tid", "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     found = work.save("found", found)
     ids = found.groupBy("root").agg(F.min("least").alias("component"))
-    named = found.join(ids, "root").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("n").alias("n_shingles"), "component")
+    named = found.join(ids, "root").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("n").alias("n_shingles"), "component", "root")
+    named = named if rooted else named.drop("root")
     rows = docs.select(*keep, t1.alias("_a"), t2.alias("_b")).join(named, (F.col("_a") == F.col("_t1")) & (F.col("_b") == F.col("_t2")))
     own = F.when(F.col("n_shingles") == 0, F.col(doc_id)).otherwise(F.col("component"))
-    return rows.select(*keep, "n_shingles", own.alias("component_id"))
+    return rows.select(*keep, "n_shingles", own.alias("component_id"), *["root"] * rooted)
 
 
 def document_components(docs: DataFrame) -> DataFrame:

@@ -68,3 +68,11 @@ def test_pieces_are_of_the_mixed_texts(stages):
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     rows = pieces.collect()
     assert len(rows) == mixed.count() and all(list(r["ids"]) == peer.encode(texts[r["doc_id"]]) for r in rows[:80])
+
+
+def test_unlike_documents_of_one_id_both_stay(spark, small):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a + " more", "en", "s", 1), (2, a, "en", "s", 1), (1, b, "en", "s", 1), (3, b, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_duplicates(spark, docs, small).collect())
+    assert kept == [(1, "a"), (1, "b")]
