@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages; each takes all that the one before kept and returns rows of ``documents``.
 
-The last stage returns piece ids instead. ``run`` writes every stage as Parquet
+The last stage returns piece ids instead, and what they decode to as a digest. ``run`` writes every stage as Parquet
 in the folder that the cluster shares and reads it back as the next one's input.
 """
 
@@ -13,7 +13,7 @@ from tarnfield.llm.language import UNDETERMINED, document_languages
 from tarnfield.llm.mixing import fair_mix
 from tarnfield.llm.shingle_join import text_components
 from tarnfield.llm.superkmers import drop_repeats
-from tarnfield.llm.wfst import MODEL, encode_texts, read_model
+from tarnfield.llm.wfst import MODEL, decode_ids, encode_texts, read_model
 from tarnfield.plans.workspace import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -49,9 +49,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and their number."""
-    pieces = encode_texts(docs.select("doc_id", "lang", "source", "text"), read_model(MODEL))
-    return pieces.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"))
+    """doc_id, lang, source, ids, their number, decoded_sha256 and round_trip: whether the ids give the text again (U+2581 reads back as a space)."""
+    model = read_model(MODEL)
+    pieces = decode_ids(encode_texts(docs.select("doc_id", "lang", "source", "text"), model), model)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return pieces.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
 STAGES = [

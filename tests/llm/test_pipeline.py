@@ -76,3 +76,12 @@ def test_unlike_documents_of_one_id_both_stay(spark, small):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted((r["doc_id"], r["text"][0]) for r in corpus_pipeline.near_duplicates(spark, docs, small).collect())
     assert kept == [(1, "a"), (1, "b")]
+
+
+def test_pieces_are_decoded(spark, small):
+    import hashlib
+
+    texts = ["One  two, drei \u00fc.\n", "lost \u2581 mark", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["round_trip"], r["decoded_sha256"]) for r in corpus_pipeline.encode_pieces(spark, docs, small).collect()}
+    assert got == {i: (i != 1, hashlib.sha256((t or "").replace("\u2581", " ").encode()).hexdigest()) for i, t in enumerate(texts)}
