@@ -437,12 +437,22 @@ def resolve_page(spark, d):
 @query("""WITH x AS (SELECT c.conv_id AS qid, c.turn AS rn, g.pos, lower(substr(w, 1, 2)) AS src FROM conversations c, (SELECT unnest([1, 2, 3]) AS pos) g, LATERAL (SELECT split_part(c.text, ' ', g.pos) AS w)),
 f AS (SELECT qid, src, min((rn, pos)) AS pl FROM x WHERE src <> '' GROUP BY ALL), n AS (SELECT qid, src, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f) SELECT qid, k AS at, src FROM n WHERE k <= 6""")
 def first_occurrence_distinct(spark, d):
-    words = F.slice(F.split("text", " "), 1, 3)
+    return _first_occurrences(spark, d, F.slice(F.split("text", " "), 1, 3))
+
+
+def _first_occurrences(spark, d, words: Column) -> DataFrame:
     figures = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(F.lower(F.substring(w, 1, 2)).alias("src")))
     hits = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rn"), figures.alias("figures"))
     return retrieve.first_figures(hits, 6).select("qid", F.col("at").cast("long").alias("at"), "figure.src")
 
 
+@query("""WITH x AS (SELECT conv_id AS qid, turn AS rn, lower(substr(unnest(string_split(text, ' ')), 1, 2)) AS src, generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations),
+f AS (SELECT qid, src, min((rn, pos)) AS pl FROM x WHERE src <> '' GROUP BY ALL), n AS (SELECT qid, src, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f) SELECT qid, k AS at, src FROM n WHERE k <= 6""")
+def first_occurrence_distinct_whole(spark, d):
+    """Of all words of each turn; ``first_occurrence_distinct`` reads the three that its SQL names."""
+    return _first_occurrences(spark, d, F.split("text", " "))
+
+
 # --- conversations ---
 
 
@@ -482,6 +492,14 @@ def answer_collect(spark, d):
     return chat.collected(hits, "shown").select("qid", F.array_join("shown", "|").alias("shown"))
 
 
+@query("""WITH w AS (SELECT conv_id AS qid, turn AS rn, unnest(string_split(text, ' ')) AS v, generate_subscripts(string_split(text, ' '), 1) AS p FROM conversations),
+f AS (SELECT qid, v, min((rn, p)) AS pl FROM w GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f) SELECT qid, string_agg(v, '|' ORDER BY k) AS shown FROM n WHERE k <= 5 GROUP BY qid""")
+def answer_collect_whole(spark, d):
+    """Of all words of each turn; ``answer_collect`` reads the four that its SQL names."""
+    hits = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rn"), F.split("text", " ").alias("shown"))
+    return chat.collected(hits, "shown").select("qid", F.array_join("shown", "|").alias("shown"))
+
+
 @query("SELECT conv_id, md5(string_agg(CASE WHEN role = 'user' THEN '## ' || text ELSE text END, chr(10) || chr(10) ORDER BY turn)) AS transcript_md5 FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
 def transcript(spark, d):
     return chat.transcript(table(spark, d, "conversations")).select("conv_id", F.md5("transcript").alias("transcript_md5"))

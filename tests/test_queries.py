@@ -40,3 +40,10 @@ def test_blocks_find_what_the_join_finds(spark, monkeypatch):
     vectors, asked = spark.createDataFrame(given, "id long, v array<float>"), spark.createDataFrame([(i, 0, v) for i, v in given], "qid long, sub int, qv array<float>")
     got, want = (sorted(map(tuple, f(asked, vectors, 6).select("qid", "sub", "id", "score", "rn").collect())) for f in (retrieve.dense_topk_blocks, retrieve.dense_topk))
     assert got == want and len(got) == 360
+
+
+def test_values_first_seen_late_in_a_turn_are_listed(spark, tmp_path):
+    turns = spark.createDataFrame([(1, 0, "user", "a a a a Bcd"), (1, 1, "user", "e")], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["src"] for r in catalog.first_occurrence_distinct_whole(spark, str(tmp_path)).orderBy("at").collect()] == ["a", "bc", "e"]
+    assert catalog.answer_collect_whole(spark, str(tmp_path)).first()["shown"] == "a|Bcd|e"
