@@ -402,6 +402,23 @@ SELECT tid, rn, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER
 def menu_lookup(spark, d):
     part = table(spark, d, "part")
     tasks = table(spark, d, "nation").join(part, F.col("p_partkey") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").alias("tid"), F.concat(F.lit("find the "), "p_name", F.lit(" fastener")).alias("task"))
+    return _found_menus(part, tasks)
+
+
+@query(f"""WITH t AS (SELECT item_id AS tid, 'find the ' || text || ' fastener' AS task FROM benchmark),
+w AS (SELECT tid, task, list_filter({_WORDS.format(FOLD.format("task"))}, lambda x: len(x) > 2 AND x NOT IN ({", ".join(f"'{s}'" for s in lookup.TASK_STOP_WORDS)})) AS asked FROM t),
+i AS (SELECT p_partkey AS ord, p_type || ' > ' || p_name AS menu_path, lower(p_name) AS item, lower(p_brand || ' ' || p_type) AS descr FROM part),
+iw AS (SELECT *, {_WORDS.format("item")} AS iw, {_WORDS.format("descr")} AS dw FROM i),
+s AS (SELECT tid, ord, menu_path, 6.0 * len(list_filter(asked, lambda a: len(list_filter(iw, lambda h: starts_with(h, a) AND len(h) - len(a) <= 2)) > 0)) / len(asked)
+ + 3.0 * len(list_filter(asked, lambda a: len(list_filter(dw, lambda h: starts_with(h, a) AND len(h) - len(a) <= 2)) > 0)) / len(asked)
+ + list_sum(list_transform(['ring', 'bolt', 'nut'], lambda n: CASE WHEN n = item THEN 8 WHEN contains(item, n) THEN 4 WHEN contains(descr, n) THEN 2 ELSE 0 END)) + CASE WHEN lower(task) = item THEN 10 ELSE 0 END AS score FROM w, iw)
+SELECT tid, rn, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY round(score, 9) DESC, ord) AS rn FROM s WHERE score > 0) WHERE rn <= 5""")
+def menu_lookup_whole(spark, d):
+    """For every question of the benchmark; ``menu_lookup`` looks up the 25 parts that its SQL names."""
+    return _found_menus(table(spark, d, "part"), _questions(spark, d).select(F.col("qid").alias("tid"), F.concat(F.lit("find the "), "question", F.lit(" fastener")).alias("task")))
+
+
+def _found_menus(part: DataFrame, tasks: DataFrame) -> DataFrame:
     tasks = tasks.join(vendor_terms(tasks, "tid", F.col("task"), ALIASES), "tid").withColumnRenamed("vendor_terms", "terms")
     menus = part.select(F.col("p_partkey").alias("ord"), F.col("p_type").alias("menu"), F.col("p_name").alias("item"), F.concat("p_type", F.lit(" > "), "p_name").alias("menu_path"), F.concat("p_brand", F.lit(" "), "p_type").alias("description"), F.lit("windows").alias("platform"))
     return _rounded(lookup.find_menu(tasks, menus).select("tid", F.col("rn").cast("long").alias("rn"), "ord", "score"), "score")

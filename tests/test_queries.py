@@ -47,3 +47,8 @@ def test_values_first_seen_late_in_a_turn_are_listed(spark, tmp_path):
     turns.write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r["src"] for r in catalog.first_occurrence_distinct_whole(spark, str(tmp_path)).orderBy("at").collect()] == ["a", "bc", "e"]
     assert catalog.answer_collect_whole(spark, str(tmp_path)).first()["shown"] == "a|Bcd|e"
+
+
+def test_menus_are_looked_up_for_every_question(spark, small):
+    asked = {r["item_id"] for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id").collect()}
+    assert {r["tid"] for r in catalog.menu_lookup_whole(spark, small).select("tid").collect()} == asked
