@@ -3,12 +3,12 @@
 A word enters the network twice: as a learned vector of its own, if the
 training sample holds it often enough, and as the sum of learned vectors of its
 character runs, so unseen forms of a known stem score too. Both directions of a
-gated recurrent layer read windows of ``WINDOW`` words that start every
-``STEP`` words; attention pools the states of a window to one logit. A document
-scores as its highest window, and every window of the whole text is scored.
+gated recurrent layer read windows of ``WINDOW`` words; attention pools the
+states of a window to one logit. A document scores as its highest window, and
+the windows at every word of the whole text are scored.
 
 Training sees a bounded, hash-ordered sample of labelled documents and learns
-from each document's highest window. Labels are used for nothing else.
+from each document's highest window of those that start every ``STEP`` words. Labels are used for nothing else.
 """
 
 from __future__ import annotations
@@ -217,11 +217,11 @@ def char_sums(vectors: np.ndarray, runs: np.ndarray, counts: np.ndarray) -> np.n
     return np.add.reduceat(vectors[runs], np.cumsum(counts) - counts) / np.sqrt(counts)[:, None].astype(np.float32)
 
 
-def window_starts(n: int) -> np.ndarray:
-    """Starts of overlapping windows that cover ``n`` words; one window if there are no more than fit."""
+def window_starts(n: int, step: int = 1) -> np.ndarray:
+    """Starts of overlapping windows that cover ``n`` words, ``step`` apart and one at the end; one window if there are no more than fit."""
     if n <= WINDOW:
         return np.zeros(1, np.int64)
-    return np.append(np.arange(0, n - WINDOW, STEP), n - WINDOW)
+    return np.append(np.arange(0, n - WINDOW, step), n - WINDOW)
 
 
 def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7) -> Network:
@@ -245,7 +245,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7
         pick = np.concatenate([r.choice(s, BATCH // 2) for s in sides])
         windows, owner = [], []
         for j, i in enumerate(pick):
-            for s in window_starts(len(ids[i])):
+            for s in window_starts(len(ids[i]), STEP):
                 windows.append(ids[i][s : s + WINDOW])
                 owner.append(j)
         owner = np.array(owner)

@@ -184,6 +184,14 @@ def test_long_words_are_read_to_their_end():
         assert pieces[-1].endswith(word[n - 1 : n]) and max(map(len, pieces)) <= 64
 
 
+def test_every_window_is_scored():
+    net = toxicity.Network.fresh({b"w1": 1, b"w7": 2})
+    words = [f"w{i * i % 29}" for i in range(70)]
+    each = net.score([" ".join(words[s : s + toxicity.WINDOW]) for s in range(39)])
+    assert net.score([" ".join(words)])[0] == pytest.approx(each.max(), abs=1e-6) and each.argmax() % toxicity.STEP
+    assert each.max() > each[[0, 16, 32, 38]].max() + 1e-4
+
+
 # --- 4: language ---
 
 
