@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.llm.language import UNDETERMINED, document_languages
 from tarnfield.llm.mixing import fair_mix
-from tarnfield.llm.shingle_join import text_components
+from tarnfield.llm.shingle_join import one_of_each
 from tarnfield.llm.superkmers import drop_repeats
 from tarnfield.llm.wfst import MODEL, decode_ids, encode_texts, read_model
 from tarnfield.plans.workspace import Workspace
@@ -27,11 +27,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. Rows of the group that repeat that id are one document."""
-    found = text_components(docs.select(*COLUMNS), words=NEAR_WORDS, percent=NEAR_PERCENT, rooted=True)
-    lone = F.col("component_id").isNull()  # no row of the group has an id
-    kept = found.where(lone | (F.col("doc_id") == F.col("component_id")))
-    return kept.where(~F.coalesce(lone, F.lit(False))).dropDuplicates(["root", "doc_id"]).unionByName(kept.where(lone)).select(*COLUMNS)
+    """One document of each group of near copies: the one with the least id, null last, then the least other values.
+
+    Unlike documents stay even if they repeat an id; repeated rows are near copies of each other, also without ids.
+    """
+    return one_of_each(docs.select(*COLUMNS), words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
