@@ -8,10 +8,13 @@ virtual finish time, cut where the running words reach the budget. Sources that
 run dry leave their share to the others in proportion to weight, so the cut
 itself water-fills the targets.
 
-Running sums use two levels. A source's shuffled order is split by hash into
-``buckets``; a bucket's start is a running sum over bucket sums, and only the
-rows of one bucket meet in a task. The cut is found by histograms of the finish
-time (``selection``), not by one global sort.
+Texts are read once for narrow rows (size, order, bucket); equal rows are
+counted as one, so a row that a third of the table repeats is no hot key, and
+are told apart again after the running sums. These use two levels: a source's
+shuffled order is split by hash into ``buckets``, a bucket's start is a running
+sum over bucket sums, and only the rows of one bucket meet in a task. The queue
+is then sorted by ranges of the finish time; sums per range tell in which range
+the budget ends, and only that one is summed up row by row.
 """
 
 from __future__ import annotations
@@ -19,17 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.selection import crossings
 from tarnfield.plans.workspace import Workspace
 
-WORD_GAPS = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
+COPIES = 10_000  # equal rows that one array tells apart
 TICKS = 2**52  # virtual time is compared as a long: ticks of the latest finish time
 
 
 def word_count(text: Column) -> Column:
-    """Number of ``[^\\x20\\x09-\\x0D]+`` in the text, null as none."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "^" + WORD_GAPS + "|" + WORD_GAPS + "$", "")
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WORD_GAPS))).cast("long")
+    """Number of ``WORD`` in the text, null as none; one pass, whatever stands between words."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def shuffle_key(doc_id: Column, text: Column) -> Column:
@@ -61,39 +63,86 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repea
     return filled.withColumn("target", F.least(F.col("source_size").cast("double") * repeats, level * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
+def _row_keys(rows: DataFrame) -> list[Column]:
+    told = [F.col(f.name) for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(F.lit(i), *told) for i in (1, 2)]
+
+
+def _queue_end(work: Workspace, passes: DataFrame, budget: int) -> int:
+    """Where the queue, sorted by ``tick``, is cut: the last tick that stays. The tick that crosses the budget does if that ends nearer to it."""
+    parts = int(passes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = passes.repartitionByRange(parts, "tick").sortWithinPartitions("tick").withColumn("_range", F.spark_partition_id())
+    in_order = work.save("ranges", in_order)
+    below = 0
+    for r in sorted(in_order.groupBy("_range").agg(F.sum("size").alias("n"), F.max("tick").alias("last")).collect()):
+        if below + r["n"] < budget:
+            below += r["n"]
+            continue
+        ticks = in_order.where(F.col("_range") == r["_range"]).groupBy("_range", "tick").agg(F.sum("size").alias("n"))
+        run = ticks.select("tick", "n", F.sum("n").over(Window.partitionBy("_range").orderBy("tick")).alias("run"))
+        cut = run.where(F.col("run") >= budget - below).agg(F.min(F.struct("run", "tick", "n")).alias("cut")).first()["cut"]
+        over, short = below + cut["run"] - budget, budget - (below + cut["run"] - cut["n"])
+        return cut["tick"] if over <= short else cut["tick"] - 1
+    return -1
+
+
 def fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, buckets: int = 1024, with_text: bool = False) -> DataFrame:
     """Columns of ``docs`` (source, text and doc_id are read; text is kept only ``with_text``) plus size, source_size, target and taken.
 
     ``taken`` is the document's size times the passes of it that the mix holds.
     A null source is a source of its own, null and empty texts have size 0 and
     take nothing, repeated rows are separate documents, an empty table gives an
-    empty result; columns named like results are replaced.
+    empty result; columns named like results are replaced. The word is whatever
+    ``WORD`` matches, so U+0085 or U+2028 are words or parts of them.
     """
     made = ("size", "source_size", "target", "taken")
     keep = [c for c in docs.columns if c not in made]
-    held_columns = [c for c in keep if with_text or c != "text"]
     work = Workspace(docs.sparkSession, "mix")
-    sized = docs.select(*keep, word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), F.col("text")).alias("_order"))
+    own_name = {c: f"c{i}" for i, c in enumerate(keep)}  # so that no name of the table meets one of ours
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own_name.items()])
+    text, held = F.col(own_name["text"]), [n for c, n in own_name.items() if c != "text"]
+    k1, k2 = _row_keys(rows)
+    sized = rows.select(*held, k1.alias("_k1"), k2.alias("_k2"), word_count(text).alias("size"), shuffle_key(F.col(own_name["doc_id"]), text).alias("_order"), F.col(own_name["source"]).alias("source"))
     sized = sized.withColumn("_bucket", (F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
-    parts = work.save("parts", sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")))
+    sized = sized.groupBy("source", "_bucket", "_order", "_k1", "_k2", "size").agg(F.count("*").alias("_copies"), *[F.first(c).alias(c) for c in held])
+    sized = work.save("sized", sized)
+    parts = work.save("parts", sized.groupBy("source", "_bucket").agg(F.sum(F.col("size") * F.col("_copies")).alias("_sum")))
     sources = work.save("sources", source_targets(parts.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, repeats))
     starts = parts.join(sources, parts["source"].eqNullSafe(sources["source"])).select(
         parts["source"].alias("_source"), parts["_bucket"].alias("_b"), "source_size", "weight", "target",
         (F.sum("_sum").over(Window.partitionBy(parts["source"]).orderBy("_bucket")) - F.col("_sum")).alias("_start"),
     )
     placed = sized.join(starts, sized["source"].eqNullSafe(F.col("_source")) & (sized["_bucket"] == F.col("_b")))
-    own = Window.partitionBy("_source", "_b").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("_end", F.col("_start") + F.sum("size").over(own))
-    queue = work.save("queue", placed.select(*held_columns, "size", "source_size", "target", "weight", "_end", "_order"))
+    own = Window.partitionBy("_source", "_b").orderBy("_order", "_k1", "_k2").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_before", F.col("_start") + F.sum(F.col("size") * F.col("_copies")).over(own) - F.col("size") * F.col("_copies"))
+    queue = work.save("queue", _told_apart(placed).select(*held, "_k1", "_k2", "size", "source_size", "target", "weight", (F.col("_before") + F.col("size") * (F.col("_copy") + 1)).alias("_end")))
+    work.drop("sized")
     total = queue.agg(F.sum("size").alias("budget"), F.max((F.col("_end") + F.col("source_size") * (repeats - 1)) / F.col("weight")).alias("latest")).first()
     latest = total["latest"] or 1.0
-    passes = queue.where("size > 0").select("size", F.explode(F.array(*[F.lit(p) for p in range(repeats)])).alias("_pass"), "_end", "source_size", "weight")
-    ticks = F.floor((F.col("_end") + F.col("source_size") * F.col("_pass")) / F.col("weight") / latest * TICKS).cast("long")
-    cut = crossings(passes, F.lit(0), ticks, F.col("size"), {0: total["budget"] or 0}).get(0)
-    # The entry that crosses the budget stays in if that ends nearer to it.
-    last = -1 if cut is None else cut.key if 2 * ((total["budget"] or 0) - cut.below) >= cut.at else cut.key - 1
-    held = sum((F.floor((F.col("_end") + F.col("source_size") * p) / F.col("weight") / latest * TICKS) <= last).cast("long") for p in range(repeats))
-    return queue.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * held).otherwise(0).cast("long")).select(*held_columns, "size", "source_size", "target", "taken")
+
+    def tick(a_pass: Column) -> Column:
+        return F.floor((F.col("_end") + F.col("source_size") * a_pass) / F.col("weight") / latest * TICKS).cast("long")
+
+    passes = queue.where("size > 0").select("size", "_end", "source_size", "weight", F.explode(F.array(*[F.lit(p) for p in range(repeats)])).alias("_pass"))
+    last = _queue_end(work, passes.select("size", tick(F.col("_pass")).alias("tick")), total["budget"] or 0)
+    times = sum((tick(F.lit(p)) <= last).cast("long") for p in range(repeats))
+    mixed = queue.withColumn("taken", F.when(F.col("size") > 0, F.col("size") * times).otherwise(0).cast("long"))
+    work.drop("ranges")
+    named = [F.col(n).alias(c) for c, n in own_name.items() if with_text or c != "text"]
+    if not with_text:
+        return mixed.select(*named, *made)
+    # Equal rows are one row with its text here, and as many as before again after the join.
+    found = work.save("found", mixed.groupBy("_k1", "_k2", *made).agg(F.count("*").alias("_copies")))
+    work.release()
+    once = rows.select(*own_name.values(), k1.alias("_a"), k2.alias("_b")).groupBy("_a", "_b").agg(*[F.first(n).alias(n) for n in own_name.values()])
+    joined = once.join(found, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")))
+    return _told_apart(joined).select(*named, *made)
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Each row ``_copies`` times, numbered from 0 by ``_copy``."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(COPIES).cast("long"))))
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + COPIES, F.col("_copies")) - 1)))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
