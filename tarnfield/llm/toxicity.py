@@ -2,13 +2,17 @@
 
 A word enters the network twice: as a learned vector of its own, if the
 training sample holds it often enough, and as the sum of learned vectors of its
-character runs, so unseen forms of a known stem score too. Both directions of a
-gated recurrent layer read windows of ``WINDOW`` words; attention pools the
-states of a window to one logit. A document scores as its highest window, and
-the windows at every word of the whole text are scored.
+character runs, so unseen forms of a known stem score too. A window is
+``WINDOW`` words, and one starts at every word. ``SPAN`` windows that start at
+words in turn share one pass: both directions of a gated recurrent layer read
+the words that these windows cover, from a zero state at either end, and
+attention pools the states of each window to one logit. A logit is a weighted
+mean of one number a word, so all windows of a pass are sliding sums, and a
+window at every word costs 1.5 steps a word and direction. A document scores as
+its highest window, over its whole text.
 
 Training sees a bounded, hash-ordered sample of labelled documents and learns
-from each document's highest window of those that start every ``STEP`` words. Labels are used for nothing else.
+from each document's highest window. Labels are used for nothing else.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfield.llm.sampling import bounded_sample
 from tarnfield.llm.superkmers import _parts
 from tarnfield.plans.workspace import ship
 
-WINDOW, STEP = 32, 16  # words
+WINDOW, SPAN = 32, 64  # words of a window, windows of a pass
 SAMPLE = 3000  # labelled documents of each class to train on, at most
-SAMPLE_WORDS = 250  # longest training document
+SAMPLE_WORDS, SAMPLE_CHARS = 250, 1750  # longest training document; if a class has only longer ones, their beginnings
+PASSES = 1024  # passes that are read at once
 STEPS, BATCH, RATE = 350, 64, 0.01
 SEEN_IN = 4  # training documents that must hold a word for it to get a vector
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 16, 12, 8
@@ -79,7 +85,7 @@ class Network:
     def __init__(self, weights: dict[str, np.ndarray], vocabulary: dict[bytes, int]):
         self.w, self.vocabulary = weights, vocabulary
         self.rows: dict[bytes, int] = _Numbered()
-        self.inputs: np.ndarray | None = None
+        self.inputs: list[np.ndarray] | None = None  # what each word adds to the gates of either direction
 
     @staticmethod
     def fresh(vocabulary: dict[bytes, int], seed: int = 7) -> "Network":
@@ -115,6 +121,7 @@ class Network:
         return out
 
     def pooled(self, out: np.ndarray, mask: np.ndarray) -> tuple:
+        """Logits of one window each: the words that ``mask`` marks."""
         hidden = np.tanh(out @ self.w["attend"])
         e = hidden @ self.w["focus"] + (mask - 1) * 30
         e = np.exp(e - e.max(1, keepdims=True))
@@ -122,17 +129,20 @@ class Network:
         pool = (share[:, :, None] * out).sum(1)
         return pool @ self.w["out"] + self.w["bias"], pool, share, hidden
 
-    def logits(self, gates: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        return self.pooled(self.states(gates, mask), mask)[0]
+    def windows(self, attention: np.ndarray, value: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Logits of the windows at every word of each pass; (passes, time) before attention's exponential, what a word adds, and words."""
+        weight = np.exp((attention - attention.max(1, keepdims=True)).astype(np.float64)) * mask
+        whole = _sums(weight)
+        return _sums(weight * value) / np.where(whole > 0, whole, 1) + self.w["bias"]
 
-    def gradient(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """(gradients of the dense weights, of the inputs, mean loss) for windows ``x`` (n, time, dim)."""
+    def gradient(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, window: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """(gradients of the dense weights, of the inputs, mean loss) for passes ``x`` (n, time, dim); ``window`` marks the words to pool, else all."""
         n, t, _ = x.shape
         h, w, g = HIDDEN, self.w, {}
         kept: list = []
         gates = self.gates(x)
         out = self.states(gates, mask, kept)
-        logit, pool, share, hidden = self.pooled(out, mask)
+        logit, pool, share, hidden = self.pooled(out, mask if window is None else window)
         p = _sigmoid(logit)
         d = (p - labels) / n
         g["out"], g["bias"] = pool.T @ d, d.sum(keepdims=True)
@@ -173,35 +183,80 @@ class Network:
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         """Rows of ``inputs`` of the words, computing those of new words."""
         if self.inputs is None or len(self.rows) > _KNOWN_WORDS:
-            self.rows, self.inputs = _Numbered(), np.zeros((1, 6 * HIDDEN), np.float32)
+            self.rows, self.inputs = _Numbered(), [np.zeros((1, 3 * HIDDEN), np.float32) for _ in "fb"]
         known = len(self.rows)
         numbers = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         new = list(self.rows)[known:]
-        parts = [self.inputs]
+        parts = [[x] for x in self.inputs]
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             own = self.w["word"][[self.vocabulary.get(x, 0) for x in part]]
-            parts.append(self.gates(np.concatenate([own, char_sums(self.w["char"], *char_runs(part))], 1)))
-        self.inputs = np.concatenate(parts)
+            gates = self.gates(np.concatenate([own, char_sums(self.w["char"], *char_runs(part))], 1))
+            for side, given in enumerate(parts):
+                given.append(gates[:, side * 3 * HIDDEN : (side + 1) * 3 * HIDDEN])
+        self.inputs = [np.concatenate(x) for x in parts]
         return numbers
 
+    def _read(self, side: int, numbers: np.ndarray) -> np.ndarray:
+        """(time, passes, ATTEND + 1): what one direction's states add to attention and to the logit; ``numbers`` (time, passes) in its order."""
+        t, n = numbers.shape
+        h, u = HIDDEN, self.w[f"u{'fb'[side]}"]
+        states, state = np.empty((t, n, h), np.float32), np.zeros((n, h), np.float32)
+        for at in range(t):
+            g = self.inputs[side].take(numbers[at], 0)
+            rec = state @ u
+            zr = g[:, : 2 * h] + rec[:, : 2 * h]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            new = rec[:, 2 * h :] * zr[:, h:]
+            new += g[:, 2 * h :]
+            np.tanh(new, out=new)
+            new -= state
+            new *= zr[:, :h]
+            state = np.add(state, new, out=states[at])
+        own = slice(side * h, (side + 1) * h)
+        return states @ np.concatenate([self.w["attend"][own], self.w["out"][own, None]], 1)
+
+    def _pass_logits(self, numbers: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(passes, windows) logits; ``numbers`` (passes, time) with ``size`` words each, in front."""
+        t = np.arange(numbers.shape[1])[:, None]
+        inside = t < size
+        back = np.where(inside, size - 1 - t, t)  # the backward direction reads each pass from its last word
+        ahead = np.ascontiguousarray(numbers.T)
+        both = self._read(0, ahead) + np.take_along_axis(self._read(1, np.take_along_axis(ahead, back, 0)), back[:, :, None], 0)
+        attention = np.tanh(both[:, :, :ATTEND]) @ self.w["focus"]
+        return self.windows(attention.T, both[:, :, ATTEND].T, inside.T)
+
     def score(self, texts: list[str]) -> np.ndarray:
         """The highest window score of each text; a text without words scores as one empty window."""
         docs = [words_of(t) for t in texts]
-        numbers = self._numbers([x for d in docs for x in d])
-        begin = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-        starts = [window_starts(len(d)) + b for d, b in zip(docs, begin, strict=False)]
-        owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
-        starts = np.concatenate(starts) if docs else np.zeros(0, np.int64)
-        end = begin[1:][owner]
-        best = np.full(len(docs), -np.inf, np.float32)
-        numbers = np.append(numbers, np.zeros(WINDOW, np.int64))
-        for a in range(0, len(starts), 2048):
-            at = starts[a : a + 2048, None] + np.arange(WINDOW)
-            inside = at < end[a : a + 2048, None]
-            gates = self.inputs[np.where(inside, numbers[np.minimum(at, len(numbers) - 1)], 0)]
-            np.maximum.at(best, owner[a : a + 2048], self.logits(gates, inside.astype(np.float32)))
-        return _sigmoid(best.astype(np.float64))
+        numbers = np.append(self._numbers([x for d in docs for x in d]), 0)
+        begin = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+        each = [passes(len(d)) for d in docs]
+        owner = np.repeat(np.arange(len(docs)), [len(first) for first, _, _ in each])
+        first, size, windows = (np.concatenate([np.zeros(0, np.int64), *[x[i] for x in each]]) for i in range(3))
+        first = first + begin[owner]
+        best = np.full(len(docs), -np.inf)
+        by_size = np.argsort(size, kind="stable")
+        for a in range(0, len(by_size), PASSES):
+            pick = by_size[a : a + PASSES]
+            time = np.arange(max(WINDOW, int(size[pick].max())))
+            at = np.where(time < size[pick, None], first[pick, None] + time, len(numbers) - 1)
+            logits = self._pass_logits(numbers[at], size[pick])
+            logits[np.arange(logits.shape[1]) >= windows[pick, None]] = -np.inf
+            np.maximum.at(best, owner[pick], logits.max(1))
+        return _sigmoid(best)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of each ``WINDOW`` values in turn, by doubling."""
+    width = 1
+    while width < WINDOW:
+        x = x[:, :-width] + x[:, width:]
+        width *= 2
+    return x
 
 
 class _Numbered(dict):
@@ -217,11 +272,12 @@ def char_sums(vectors: np.ndarray, runs: np.ndarray, counts: np.ndarray) -> np.n
     return np.add.reduceat(vectors[runs], np.cumsum(counts) - counts) / np.sqrt(counts)[:, None].astype(np.float32)
 
 
-def window_starts(n: int, step: int = 1) -> np.ndarray:
-    """Starts of overlapping windows that cover ``n`` words, ``step`` apart and one at the end; one window if there are no more than fit."""
-    if n <= WINDOW:
-        return np.zeros(1, np.int64)
-    return np.append(np.arange(0, n - WINDOW, step), n - WINDOW)
+def passes(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, windows) of each pass over ``n`` words: a window at every word that has a whole one, or one window if there are no more words than fit."""
+    starts = max(1, n - WINDOW + 1)
+    first = np.arange(0, starts, SPAN)
+    windows = np.minimum(SPAN, starts - first)
+    return first, np.minimum(windows + WINDOW - 1, n - first), windows
 
 
 def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7) -> Network:
@@ -243,15 +299,16 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     for step in range(steps):
         pick = np.concatenate([r.choice(s, BATCH // 2) for s in sides])
-        windows, owner = [], []
+        read, owner, counts = [], [], []
         for j, i in enumerate(pick):
-            for s in window_starts(len(ids[i]), STEP):
-                windows.append(ids[i][s : s + WINDOW])
+            for first, size_, windows in zip(*passes(len(ids[i])), strict=True):
+                read.append(ids[i][first : first + size_])
                 owner.append(j)
-        owner = np.array(owner)
-        mask = np.arange(WINDOW) < np.array([len(x) for x in windows])[:, None]
-        grid = np.zeros((len(windows), WINDOW), np.int64)
-        grid[mask] = np.concatenate(windows)
+                counts.append(windows)
+        owner, time = np.array(owner), np.arange(max(WINDOW, *map(len, read)))
+        mask = time < np.array([len(x) for x in read])[:, None]
+        grid = np.zeros(mask.shape, np.int64)
+        grid[mask] = np.concatenate(read)
         used, inverse = np.unique(grid, return_inverse=True)
         inverse = inverse.reshape(grid.shape)
         places = np.concatenate([np.arange(ends[u] - size[u], ends[u]) for u in used])
@@ -261,11 +318,15 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = 7
         drop = (r.random(len(used)) < 0.3).astype(np.float32)  # at times a word is known by its characters alone
         table[:, :WORD_DIM] *= 1 - drop[:, None]
         maskf = mask.astype(np.float32)
-        logit = net.logits(net.gates(table)[inverse], maskf)
+        out = net.states(net.gates(table)[inverse], maskf)
+        logit = net.windows(np.tanh(out @ net.w["attend"]) @ net.w["focus"], out @ net.w["out"], maskf)
+        logit[np.arange(logit.shape[1]) >= np.array(counts)[:, None]] = -np.inf
+        at, logit = logit.argmax(1), logit.max(1)
         top = np.lexsort((-logit, owner))
         top = top[np.concatenate([[True], owner[top][1:] != owner[top][:-1]])]
         x = table[inverse[top]]
-        grads, d_x, _ = net.gradient(x, maskf[top], y[pick])
+        inside = (time >= at[top, None]) & (time < at[top, None] + WINDOW) & mask[top]
+        grads, d_x, _ = net.gradient(x, maskf[top], y[pick], inside.astype(np.float32))
         d_table = np.zeros_like(table)
         np.add.at(d_table, inverse[top].ravel(), d_x.reshape(-1, x.shape[2]))
         grads["word"], grads["char"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["char"])
@@ -304,15 +365,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Trained on at most ``sample`` labelled documents of each class that are not held out, of 1 to ``SAMPLE_WORDS`` words."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    short = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_WORDS * 7)).join(known, "doc_id")
-    rows = []
-    for kind in (0, 1):
-        rows += short.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    rows = [r for r in rows if 0 < len(words_of(r["text"])) <= SAMPLE_WORDS]
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    """Trained on at most ``sample`` labelled documents of each class that are not held out, of 1 to ``SAMPLE_WORDS`` words.
+
+    If all documents of a class are over ``SAMPLE_CHARS``, their beginnings stand for them in training.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    given = docs.select("doc_id", "text").where(F.length("text") > 0).join(known, F.col("doc_id") == F.col("_id"))
+    short = F.length("text") <= SAMPLE_CHARS
+    have = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count(F.when(short, 1)).alias("n")).collect()}
+    usable = given.where(short | F.col("toxic").isin([k for k, n in have.items() if not n])).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic")
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for _, r in bounded_sample(usable, F.col("toxic"), F.xxhash64("doc_id", "text"), sample))
+    rows = [r for r in rows if words_of(r[1])]
+    rows = [r for r in rows if len(words_of(r[1])) <= SAMPLE_WORDS or not have[r[2]]]
+    return train([r[1] for r in rows], [r[2] for r in rows])
 
 
 def document_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
