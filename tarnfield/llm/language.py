@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.plans.workspace import Workspace
+from tarnfield.llm.sampling import kept_by_hash
+from tarnfield.plans.workspace import Workspace, ship
 
 SAMPLE = 1500  # labelled texts per language that the trigram model is fitted on, at most
 SAMPLE_BYTES = 20_000  # longest of these; of a language that has only longer ones, their beginnings
@@ -54,23 +55,23 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def fit_text(texts: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """(languages, BUCKETS x languages log probabilities)."""
-    names = sorted(set(langs))
-    own = {name: [] for name in names}
-    for t, lang in zip(texts, langs, strict=True):
-        own[lang].append(t)
+    return _model({name: sum(np.bincount(trigrams(t), minlength=BUCKETS) for t, lang in zip(texts, langs, strict=True) if lang == name) for name in set(langs)})
+
+
+def _model(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    names = sorted(counts)
     table = np.empty((BUCKETS, len(names)), np.float32)
     for i, name in enumerate(names):
-        counts = np.full(BUCKETS, 0.05)
-        for t in own[name]:
-            counts += np.bincount(trigrams(t), minlength=BUCKETS)
-        table[:, i] = np.log(counts / counts.sum())
+        smooth = counts[name] + 0.05
+        table[:, i] = np.log(smooth / smooth.sum())
     return names, table
 
 
-_SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_META = re.compile(r"<meta\b[^>]*content-language[^>]*content\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+# What is left open runs to the end, and no pattern reads beyond the next tag, so that each takes time in proportion to the page.
+_SKIP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+_TAG = re.compile(r"<[^<>]*>")
+_DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_META = re.compile(r"<meta\b[^<>]*?content-language[^<>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def page_parts(html: str) -> tuple[str, str]:
@@ -170,19 +171,36 @@ def fused(rows: DataFrame, model: tuple[list[str], np.ndarray], body: str, parts
 
 
 def text_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The trigram model of every labelled language, of at most ``sample`` texts of each, hash-ordered; without labels, one that no text is like."""
+    """The trigram model of every labelled language; without labels, one that no text is like.
+
+    It is fitted on all labelled texts of a language or, of those with more, on
+    about ``sample`` chosen by hash; repeated rows count once. Trigrams are
+    counted in the tasks: the driver gets at most ``BUCKETS`` sums a language.
+    """
     fits = F.octet_length("text") <= SAMPLE_BYTES
-    labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "doc_id", fits.alias("fits"))
-    found = labelled.groupBy("lang").agg(F.count("*").alias("all"), F.count(F.when(F.col("fits"), 1)).alias("short")).collect()
-    long = [r["lang"] for r in found if not r["short"]]
-    usable = labelled.where(F.col("fits") | F.col("lang").isin(long)).drop("fits")
-    often = sorted(r["lang"] for r in found if (r["short"] or r["all"]) > sample)
-    rows = usable.where(~F.col("lang").isin(often)).collect() if len(often) < len(found) else []
-    for lang in often:
-        rows += usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", "text")).limit(sample).collect()
-    if not rows:
-        return ["en"], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32)
-    return fit_text([r["text"].encode() for r in rows], [r["lang"] for r in rows])
+    labelled = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(F.col("lang"), F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("key"), fits.alias("fits"))
+    have = labelled.groupBy("lang").agg(F.count(F.when(F.col("fits"), 1)).alias("short")).collect()
+    long = [r["lang"] for r in have if not r["short"]]
+    usable = labelled.where(F.col("fits") | F.col("lang").isin(long)) if long else labelled.where("fits")
+    chosen = kept_by_hash(usable.select("lang", "text", "key"), F.col("lang"), F.col("key"), sample).groupBy("_kind", "_hash").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, np.ndarray] = {}
+            for lang, text in zip(batch.column("_kind").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                counts[lang] = counts.get(lang, 0) + np.bincount(trigrams(text.encode("utf-8", "replace")), minlength=BUCKETS)
+            for lang, n in counts.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+
+    ship(docs.sparkSession)
+    sums = chosen.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = {r["lang"]: np.zeros(BUCKETS) for r in have}
+    lang, bucket, n = (sums.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "bucket", "n"))
+    for name in counts:
+        own = lang == name
+        counts[name][bucket[own]] = n[own]
+    return _model(counts) if counts else (["en"], np.full((BUCKETS, 1), -np.log(BUCKETS), np.float32))
 
 
 def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
