@@ -138,11 +138,88 @@ def test_gradient_is_the_slope_of_the_loss():
         assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(grads[name][at], rel=0.05, abs=1e-5)
 
 
-def test_windows_cover_all_words():
-    for n in (0, 1, 31, 32, 33, 47, 48, 200):
-        starts = toxicity.window_starts(n)
-        seen = set().union(*[set(range(s, min(n, s + toxicity.WINDOW))) for s in starts])
-        assert seen == set(range(n)) and (np.diff(starts) <= toxicity.STEP).all()
+def test_windows_start_at_every_word():
+    for n in (0, 1, 31, 32, 33, 94, 95, 96, 97, 200):
+        first, size, windows = toxicity.passes(n)
+        starts = [f + k for f, w in zip(first, windows, strict=True) for k in range(w)]
+        assert starts == list(range(max(1, n - toxicity.WINDOW + 1)))
+        assert all(f + w - 1 + min(n, toxicity.WINDOW) <= f + s <= n for f, s, w in zip(first, size, windows, strict=True))
+
+
+def plain_windows(net, words):
+    """Logits of the windows of one pass, word by word, from the weights alone."""
+    def read(side, order):
+        state, out = np.zeros(toxicity.HIDDEN), {}
+        for at in order:
+            word = net.w["word"][net.vocabulary.get(words[at], 0)]
+            chars = toxicity.char_sums(net.w["char"], *toxicity.char_runs([words[at]]))[0]
+            x = np.concatenate([word, chars]) @ net.w[f"x{side}"] + net.w[f"c{side}"]
+            rec = state @ net.w[f"u{side}"]
+            z, r = (1 / (1 + np.exp(-(x[k : k + 12] + rec[k : k + 12]))) for k in (0, 12))
+            state = state + z * (np.tanh(x[24:] + r * rec[24:]) - state)
+            out[at] = state
+        return out
+
+    ahead, back = read("f", range(len(words))), read("b", range(len(words) - 1, -1, -1))
+    states = [np.concatenate([ahead[i], back[i]]) for i in range(len(words))]
+    out = []
+    for s in range(max(1, len(words) - toxicity.WINDOW + 1)):
+        inside = states[s : s + toxicity.WINDOW]
+        weight = [np.exp(np.tanh(x @ net.w["attend"]) @ net.w["focus"]) for x in inside]
+        pool = sum(w * x for w, x in zip(weight, inside, strict=True)) / sum(weight) if inside else np.zeros(24)
+        out.append(float(pool @ net.w["out"] + net.w["bias"][0]))
+    return out
+
+
+def test_score_equals_plain_loops():
+    net = toxicity.Network.fresh({b"w1": 1, b"w7": 2})
+    texts = [" ".join(f"w{i * i % k}" for i in range(n)) for n, k in ((0, 1), (1, 3), (31, 7), (32, 11), (33, 5), (95, 29), (96, 31), (150, 13), (230, 61))]
+    want, tops = [], []
+    for t in texts:
+        words = t.encode().split()
+        logits = [x for f, s, w in zip(*toxicity.passes(len(words)), strict=True) for x in plain_windows(net, words[f : f + s])[:w]]
+        assert len(logits) == max(1, len(words) - 31)
+        want.append(1 / (1 + np.exp(-max(logits))))
+        tops.append(int(np.argmax(logits)))
+    assert net.score(texts) == pytest.approx(want, abs=1e-5)
+    assert [float(net.score([t])[0]) for t in texts] == pytest.approx(want, abs=1e-5)
+    assert any(t % 16 for t in tops) and any(t > toxicity.SPAN for t in tops)  # the highest window may start at any word
+
+
+def test_gradient_pools_the_window():
+    rng = np.random.default_rng(13)
+    net = toxicity.Network.fresh({})
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    x, y = rng.standard_normal((3, 9, 28)) * 0.5, np.array([1.0, 0, 1])
+    mask = (np.arange(9) < np.array([9, 7, 4])[:, None]).astype(float)
+    window = mask * ((np.arange(9) >= np.array([2, 0, 1])[:, None]) & (np.arange(9) < np.array([6, 4, 4])[:, None]))
+    grads, d_x, _ = net.gradient(x, mask, y, window)
+    for name in ("xf", "ub", "attend", "focus"):
+        at = tuple(rng.integers(0, n) for n in net.w[name].shape)
+        keep, losses = net.w[name][at], []
+        for e in (1e-2, -1e-2):
+            net.w[name][at] = keep + e
+            losses.append(net.gradient(x, mask, y, window)[2])
+        net.w[name][at] = keep
+        assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(grads[name][at], rel=0.05, abs=1e-5)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", 5.0), (1, "a b", 6.0), (1, "c " * 9000, 7.0), (None, None, 8.0), (2, "x" * 5000, 9.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.document_toxicity(docs, labels).collect()
+    assert len(out) == 5 and all(0 <= r["score"] <= 1 for r in out)
+    assert len({r["score"] for r in out if r["doc_id"] == 1}) == 2  # the same rows score alike
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from tarnfield.llm.sampling import bounded_sample
+
+    rows = spark.createDataFrame([(i % 900 if i % 3 else 0, "ab"[i % 2]) for i in range(5400)] + [(7, None)], "x long, kind string")
+    got = bounded_sample(rows, F.col("kind"), F.xxhash64("x"), 40)
+    assert len(got) == 80 and len({(k, r["x"]) for k, r in got}) == 80
+    assert got == bounded_sample(rows.repartition(9), F.col("kind"), F.xxhash64("x"), 40)
+    assert len(bounded_sample(rows, F.col("kind"), F.xxhash64("x"), 10_000)) == rows.where("kind is not null").distinct().count()
 
 
 def test_toxicity_learns_and_is_held_out(spark):
@@ -165,14 +242,6 @@ def test_toxicity_learns_and_is_held_out(spark):
     assert toxicity.document_toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
-def test_score_of_whole_text_is_its_highest_window():
-    net = toxicity.Network.fresh({b"w1": 1, b"w7": 2})
-    words = [f"w{i % 13}" for i in range(150)]
-    whole = net.score([" ".join(words)])[0]
-    parts = net.score([" ".join(words[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(150)])
-    assert whole == pytest.approx(parts.max(), abs=1e-6)
-
-
 def test_long_words_are_read_to_their_end():
     net = toxicity.Network.fresh({})
     a, b = net.score(["中文字" * 20 + "好" * 10, "中文字" * 20 + "坏" * 10])
@@ -184,14 +253,6 @@ def test_long_words_are_read_to_their_end():
         assert pieces[-1].endswith(word[n - 1 : n]) and max(map(len, pieces)) <= 64
 
 
-def test_every_window_is_scored():
-    net = toxicity.Network.fresh({b"w1": 1, b"w7": 2})
-    words = [f"w{i * i % 29}" for i in range(70)]
-    each = net.score([" ".join(words[s : s + toxicity.WINDOW]) for s in range(39)])
-    assert net.score([" ".join(words)])[0] == pytest.approx(each.max(), abs=1e-6) and each.argmax() % toxicity.STEP
-    assert each.max() > each[[0, 16, 32, 38]].max() + 1e-4
-
-
 # --- 4: language ---
 
 
@@ -247,7 +308,7 @@ def brute_components(rows, words=3, percent=90):
     return [(i, len(s), i if not s else least.get(r)) for (i, _), s, r in zip(rows, sets, root, strict=True)]
 
 
-def test_shingle_join(spark, odd, monkeypatch):
+def test_shingle_join(spark, odd):
     rng = np.random.default_rng(5)
     base = [f"v{i}" for i in range(120)]
     near = []
@@ -263,9 +324,9 @@ def test_shingle_join(spark, odd, monkeypatch):
     want = keyed(brute_components(rows))
     assert keyed(map(tuple, shingle_join.document_components(frame).collect())) == want
     # The answer doesn't depend on which tokens count as frequent.
-    monkeypatch.setattr(shingle_join, "FREQUENT", 3)
-    monkeypatch.setattr(shingle_join, "VERY_FREQUENT", 12)
-    assert keyed(map(tuple, shingle_join.document_components(frame).collect())) == want
+    for least, step in ((3, 2), (2, 100)):
+        other = shingle_join.text_components(frame, least=least, step=step).select("doc_id", "n_shingles", "component_id")
+        assert keyed(map(tuple, other.collect())) == want
     clash = shingle_join.text_components(odd.withColumn("n_shingles", F.lit(-1)).withColumn("component_id", F.lit("x")))
     assert keyed((r["doc_id"], r["n_shingles"], r["component_id"]) for r in clash.collect()) == keyed(brute_components(ODD))
     assert shingle_join.document_components(odd.limit(0)).count() == 0
@@ -286,32 +347,87 @@ def test_linked_sets_share_a_signature():
             a, b = np.unique(x), np.unique(y)
             o = len(np.intersect1d(a, b))
             if 100 * o >= 90 * (len(a) + len(b) - o):
-                sa, sb = (shingle_join.signatures(s, frequent, counts, rank, 90)[0] for s in (a, b))
-                assert len(np.intersect1d(sa, sb)), (n, gone, new)
+                for step in (100, 3):  # classes up to 3, and up to 7
+                    sa, sb = (shingle_join.signatures(s, frequent, counts, rank, 90, 20, step)[0] for s in (a, b))
+                    assert len(np.intersect1d(sa, sb)), (n, gone, new)
+
+
+def test_frequent_tokens_fit_the_table(spark):
+    texts = spark.createDataFrame([(" ".join(f"t{i} u{i} v{i}" for i in range(60) if j % (i + 1) == 0),) for j in range(240)], "text string").coalesce(1)
+    whole, counts = shingle_join.frequent_tokens(Workspace(spark, "test"), texts, 1, 2)
+    few, most = shingle_join.frequent_tokens(Workspace(spark, "test"), texts, 1, 2, 20)
+    assert len(whole) == 180 and 0 < len(few) <= 20 and set(few) <= set(whole) and most.min() > np.sort(counts)[-21]
+
+
+def test_one_of_each(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a, "z"), (None, a, "y"), (None, a + " more", "x"), (7, b, "q"), (7, b, "p"), (None, b + " c", "a"), (5, "", "e"), (5, "", "e"), (6, None, "e"), (8, " \n", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    got = keyed(map(tuple, shingle_join.one_of_each(frame).collect()))
+    assert got == keyed([(None, a + " more", "x"), (7, b, "p"), (5, "", "e"), (5, "", "e"), (6, None, "e"), (8, " \n", None)])
+    assert shingle_join.one_of_each(frame.limit(0)).count() == 0
 
 
 # --- 6: embeddings ---
 
 
-def test_pivots(spark):
+def clustered():
     rng = np.random.default_rng(7)
     centre = rng.standard_normal((40, 32))
     x = np.concatenate([centre[i] + rng.standard_normal((12, 32)) * 0.12 for i in range(40)] + [centre[0] + rng.standard_normal((150, 32)) * 0.01])
-    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
-    odd = [(1000, None), (1001, [0.0] * 32), (1002, [float("nan")] + [1.0] * 31), (1003, [None] + [1.0] * 31), (None, x[0].tolist()), (1004, [])]
-    got = {r["vec_id"]: r for r in pivots.near_embeddings(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")).collect()}
+    return [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+
+
+def linked(rows):
     u = np.array([v for _, v in rows], np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
-    n = np.array([got[i]["n_links"] for i in range(len(u))])
+    return link
+
+
+def test_pivots(spark):
+    rows = clustered()
+    odd = [(1000, None), (1001, [0.0] * 32), (1002, [float("nan")] + [1.0] * 31), (1003, [None] + [1.0] * 31), (None, rows[0][1]), (1004, [])]
+    got = {r["vec_id"]: r for r in pivots.near_embeddings(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")).collect()}
+    link = linked(rows)
+    n = np.array([got[i]["n_links"] for i in range(len(rows))])
     assert (n <= link.sum(1)).all() and n.sum() >= 0.95 * link.sum()
-    assert all(got[i]["component_id"] <= i and got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(u)))
+    assert all(got[i]["component_id"] <= i and got[i]["kept"] == (got[i]["component_id"] == i) for i in range(len(rows)))
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i, _ in odd)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivots.near_embeddings(empty).count() == 0
 
 
+def test_pivots_of_mixed_lengths_repeated_ids_and_clashing_columns(spark):
+    a, b = [1.0, 0.1], [1.0, 0.11]
+    rows = [(1, a, 5), (2, b, 5), (3, [1.0, 0.1, 0.0], 5), (4, [0.0, 1.0], 5), (2, b, 5)]
+    for parts in (1, 5):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int").repartition(parts)
+        got = keyed((r["vec_id"], r["n_links"] > 0, r["component_id"], r["kept"]) for r in pivots.near_vectors(frame).collect())
+        assert got == keyed([(1, True, 1, True), (2, True, 1, False), (2, True, 1, False), (3, False, 3, True), (4, False, 4, True)])
+
+
+def test_halos_and_blocks_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    core = rng.standard_normal(32)
+    near = [core + rng.standard_normal(32) * s for s in np.repeat([0.01, 0.2, 0.28, 0.33], 70)]  # a ball, its halo, and beyond
+    rows = [(i, v.tolist()) for i, v in enumerate(near + [rng.standard_normal(32) for _ in range(60)])]
+    link = linked(rows)
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points, leaders = pivots.fit(x, len(x))
+    angle = np.degrees(np.arccos(np.clip(x @ leaders.T, -1, 1))).min(1)
+    assert len(leaders) and (angle <= pivots.BALL).sum() > 60 and ((angle > pivots.BALL) & (angle < 3 * pivots.BALL)).sum() > 60
+    for block in (2048, 16):
+        monkeypatch.setattr(pivots, "BLOCK", block)
+        got = {r["vec_id"]: r for r in pivots.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+        n = np.array([got[i]["n_links"] for i in range(len(rows))])
+        assert (n <= link.sum(1)).all() and n.sum() >= 0.98 * link.sum()
+        inside = angle <= pivots.BALL
+        assert (n[inside] == link.sum(1)[inside]).all()  # links into balls are all found
+
+
 # --- 7: substrings ---
 
 
@@ -369,6 +485,93 @@ def test_pieces_equal_the_library(spark, odd, small):
     assert wfst.document_pieces(odd.limit(0)).count() == 0
 
 
+def serialised(fields):
+    """A message from (number, value): whole numbers, single-precision floats, texts, bytes, or lists of fields."""
+    import struct
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    out = b""
+    for n, v in fields:
+        if isinstance(v, float):
+            out += varint(n << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += varint(n << 3) + varint(v)
+        else:
+            v = v.encode() if isinstance(v, str) else serialised(v) if isinstance(v, list) else v
+            out += varint(n << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def small_model(kind, pieces, bytes_=True, charsmap=b"", prefix=1, collapse=0):
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256) if bytes_] + [(p, s, 1) for p, s in pieces]
+    return serialised([*[(1, [(1, p), (2, s), (3, k)]) for p, s, k in rows], (2, [(3, kind), (35, int(bytes_))]), (3, [(1, "own"), (2, charsmap), (3, prefix), (4, collapse), (5, 1)])])
+
+
+def test_pieces_of_unigram_models_and_character_maps():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = np.random.default_rng(11)
+    letters = "abcde\u2581"
+    pieces = dict.fromkeys(letters, -9.0)
+    while len(pieces) < 140:
+        p = "".join(rng.choice(list("abcde"), rng.integers(2, 6)))
+        pieces[("\u2581" if rng.random() < 0.3 else "") + p] = float(np.float32(-rng.integers(20, 90) / 8))  # many ties
+    pieces["\u2581\u2581"] = -4.5
+    charsmap = b""
+    try:
+        maker = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+        (charsmap,) = [v for n, spec in wfst._fields(maker.serialized_model_proto()) if n == 3 for k, v in wfst._fields(spec) if k == 2]
+    except (AttributeError, TypeError):
+        pass
+    texts = ["", " ", "  ", "abc", " abcde  dcba", "a\u2581b", "xyz abc xy", "\uff21bc \uff41\uff42 \u2460 \ufb01 \u00a0 e\u0301 \u3000a\t\nb ", "\u1100\u1161 \ufdfa a"]
+    texts += ["".join(rng.choice(list("abcdex  "), rng.integers(1, 60))) for _ in range(300)]
+    seen = set()
+    for kind in (1, 2):
+        for bytes_ in (True, False):
+            for marks, prefix, collapse in ((b"", 1, 0), (b"", 0, 1), (charsmap, 1, 1), (charsmap, 1, 0)):
+                scored = list(pieces.items()) if kind == 1 else [(p, -float(i)) for i, p in enumerate(sorted(pieces, key=lambda p: (len(p), p)))]
+                model = small_model(kind, scored, bytes_, marks, prefix, collapse)
+                peer, machine = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Transducer(model)
+                for t in texts:
+                    assert list(machine.encode(t)) == peer.encode(t), (kind, bytes_, prefix, collapse, t)
+                seen.add((kind, len(machine.normalise.rules) > 1000))
+    assert (1, True) in seen or not charsmap
+
+
+def test_path_weighs_least():
+    pieces = {"a": -3.0, "b": -2.5, "ab": -4.25, "ba": -6.0, "aba": -7.5, "\u2581": -1.0}
+    machine = wfst.Transducer(small_model(1, list(pieces.items())))
+
+    def least(text):
+        if not text:
+            return 0.0
+        return min(least(text[n:]) - pieces[text[:n]] for n in (1, 2, 3) if text[:n] in pieces)
+
+    for n in range(1, 256):
+        text = "".join("ab"[int(c)] for c in f"{n:b}")
+        back = {i: p for p, i in machine.ids.items()}
+        assert sum(-pieces[back[i]] for i in machine.encode(text)) == least("\u2581" + text)
+
+
+def test_piece_query_digests(spark, odd):
+    import struct
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    peer = sentencepiece.SentencePieceProcessor(model_file=wfst.MODEL)
+    rows = [(20, "x" * 300_000), (21, "ab" * 20_000 + "\u2581" + "é" * 9000)]
+    frame = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("n_pieces", F.lit("clash"))
+    got = keyed((r["doc_id"], r["n_pieces"], r["ids_sha256"], r["decoded_sha256"]) for r in wfst.document_pieces(frame).collect())
+    want = []
+    for i, t in [*ODD, *rows]:
+        ids = peer.encode(t or "")
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}i", *ids)).hexdigest(), hashlib.sha256((t or "").replace("\u2581", " ").encode()).hexdigest()))
+    assert got == keyed(want)
+
+
 # --- 9: licences ---
 
 
@@ -404,6 +607,25 @@ def test_mixing(spark, odd):
     assert mixing.mixed_documents(odd.limit(0)).count() == 0
 
 
+def test_mixing_counts_words_between_any_marks(spark, duck, tmp_path):
+    rows = [(1, "a b \u0085", "s"), (2, "a\u2028 b", "s"), (3, "a" + " " * 1_000_000 + "b", "s"), (4, "\u00a0", None), (5, " \t\r\n", None), (6, None, "t"), (None, "x " * 50, "t"), (7, "same words", "u"), (7, "same words", "u"), (7, "same words", "u")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed_documents(frame)
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in got.collect()) == [(0, 50), (1, 3), (2, 2), (3, 2), (4, 1), (5, 0), (6, 0), (7, 2), (7, 2), (7, 2)]
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    sql = mixing.MIX_SQL.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows_of(got.toPandas()) == rows_of(duck.execute(sql).fetchdf())
+
+
+def test_mixing_gives_rows_back_with_their_texts(spark):
+    rows = [(i % 40, " ".join(["w"] * (1 + i % 40 % 7)), ["big", "low", None][i % 40 % 3], i % 40 % 2, 9, "k") for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int, size int, _copies string")
+    whole, narrow = (mixing.fair_mix(frame, with_text=x) for x in (True, False))
+    assert whole.columns == ["doc_id", "text", "source", "extra", "_copies", "size", "source_size", "target", "taken"]
+    assert keyed(map(tuple, whole.drop("text").collect())) == keyed(map(tuple, narrow.collect()))
+    assert whole.where("size <> length(replace(text, ' ', ''))").count() == 0 and whole.count() == 120
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(name, spark, small, duck):
     got = rows_of(queries.queries()[name](spark, small).toPandas())
