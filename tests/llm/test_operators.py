@@ -587,6 +587,36 @@ def test_licences(spark):
     assert licences.license_scan(frame.limit(0)).count() == 0
 
 
+def test_licences_that_callers_know(spark, duck):
+    known = (("Own-1", "Use freely."), ("Own-0", "USE freely!"), ("Two", "first line\nsecond line"), ("None", "Copyright 2020 X"))
+    rows = [(1, "use FREELY"), (2, "say\n  Use: freely \nmore"), (3, "First\n line, second line"), (4, "x " * 400_000 + "\nuse freely"), (5, "Copyright 2021 Y"), (6, "first line\nno")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], ",".join(r["notice_ids"])) for r in licences.license_scan(frame, known, digests=()).collect()}
+    assert got == {1: ("Own-0", "Own-0"), 2: (None, "Own-0"), 3: ("Two", ""), 4: (None, "Own-0"), 5: ("None", ""), 6: (None, "")}
+
+
+def test_published_licences_are_found(spark):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    given = [(i, (folder / f).read_text()) for f, i in files.items() if (folder / f).exists()]
+    if not given:
+        pytest.skip("no licence texts here")
+    rows = [(i, t.upper().replace("\n", "\r\n")) for i, t in given] + [(f"not {i}", t + " But.") for i, t in given] + [("Unlicense", licences._UNLICENSE)]
+    found = {r["doc_id"]: r["license_id"] for r in licences.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(found[i] == i and found.get(f"not {i}") is None for i, _ in rows if not i.startswith("not"))
+
+
+def test_licence_sql_sees_planted_texts(spark, duck, tmp_path):
+    rows = [(i, t) for i, (_, t) in enumerate(licences.KNOWN)] + [(100, None), (101, "x\nCopyright (c) 1999\n\u00a9 2001 a\nLicensed under CC0 1.0"), (102, "  (C) All rights reserved\nReleased under the MIT\u2014Licence."), (103, "a\n\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(licences.document_licenses(frame).toPandas())
+    assert got == rows_of(duck.execute(licences.LICENSE_SQL.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchdf())
+    assert {i for i, _ in licences.KNOWN} <= {r[2] for r in got[1]}
+
+
 # --- 10: mixing ---
 
 
