@@ -12,7 +12,9 @@ last, so a window takes a frequent minimiser only if all its runs are frequent,
 which is so only inside text that itself repeats. Such windows are equal across
 documents and collapse before the shuffle: a string that a task holds twice is
 known to repeat, is resolved there, and goes to its bucket once, without
-references. So a bucket gets at most one such string from each task and flush.
+references; what is resolved needs no bucket and is dealt out evenly. So a
+bucket gets at most one such string from each task and flush. The table of
+frequent runs has a fixed size, whatever the corpus.
 
 Exact text equality is decided on words; rows are told apart by a 128-bit hash
 of the whole row, so null or repeated ids do no harm.
@@ -37,7 +39,8 @@ WINDOW, MINIMISER = 35, 3
 LONGEST_RUN = 256  # windows in one packed string
 FLUSH_BYTES = 32 << 20  # packed strings a task holds before it sends them
 PART_BYTES = 3 << 20  # text that is held as words at once
-BUCKET_WORDS = 400_000  # words of input a bucket stands for, at most about
+BUCKET_BYTES = 2_400_000  # text a bucket stands for, at most about
+FREQUENT_RUNS = 1 << 20  # word runs that are told to all tasks, 8 bytes each; where more are frequent, these are the most frequent
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)  # odd 64-bit multipliers
 _VOCABULARY = 300_000
 
@@ -119,8 +122,9 @@ def _binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def _parts(batch: pa.RecordBatch, name: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``most`` bytes of text each, or one row."""
+def _parts(batch: pa.RecordBatch, name: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each (else ``PART_BYTES``), or one row."""
+    most = most or PART_BYTES
     size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
     at = 0
     while at < batch.num_rows:
@@ -129,21 +133,30 @@ def _parts(batch: pa.RecordBatch, name: str, most: int = PART_BYTES) -> Iterator
         at += n
 
 
-def frequent_runs(rows: DataFrame, buckets: int, total: int, minimiser: int = MINIMISER) -> np.ndarray:
-    """Hashes of word runs in a tenth of a bucket's share of places or more, sorted: at most 10 to a bucket and run length."""
+def frequent_runs(work: Workspace, rows: DataFrame, buckets: int, total: int, minimiser: int = MINIMISER, most: int = FREQUENT_RUNS, part_bytes: int = PART_BYTES) -> np.ndarray:
+    """Hashes of word runs in a tenth of a bucket's share of ``total`` places or more, sorted; if over ``most`` are, of those in so many more that at most ``most`` are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Hashes()
         for batch in batches:
-            counted = [np.unique(rolled(_hashed(_binary(part, "_text"), seen)[1], minimiser), return_counts=True) for part in _parts(batch, "_text")]
+            counted = [np.unique(rolled(_hashed(_binary(part, "_text"), seen)[1], minimiser), return_counts=True) for part in _parts(batch, "_text", part_bytes)]
             runs, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r for r, _ in counted]]), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([np.zeros(0), *[c for _, c in counted]]), len(runs)).astype(np.int64)
             often = n >= 3
             yield pa.RecordBatch.from_arrays([pa.array(runs[often].view(np.int64)), pa.array(n[often])], names=["run", "n"])
 
     counted = rows.select("_text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    found = counted.where(F.col("n") >= max(50, total // (10 * buckets))).select("run").toArrow()
-    return np.sort(found.column("run").to_numpy().view(np.uint64))
+    counted = work.save("runs", counted.where(F.col("n") >= max(50, total // (10 * buckets))))
+    level = F.floor(F.log2("n") * 16).cast("int")
+    left = most
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        left -= r["n"]
+        if left < 0:
+            counted = counted.where(level > r["level"])
+            break
+    found = np.sort(counted.select("run").toArrow().column("run").to_numpy().view(np.uint64))
+    work.drop("runs")
+    return found
 
 
 def _is_in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -179,7 +192,8 @@ class _Sender:
         for bucket, held in by.items():
             for _, refs in held:
                 if len(refs) > 1:
-                    yield from ((bucket, k1, k2, start, start + n + WINDOW - 1, None) for _, k1, k2, start, n in refs)
+                    # These need no bucket: any spreads them.
+                    yield from (((k1 ^ start) % self.buckets, k1, k2, start, start + n + WINDOW - 1, None) for _, k1, k2, start, n in refs)
             meta = np.array([(r[0][1], r[0][2], r[0][3], r[0][4], len(r) > 1) for _, r in held], np.int64)
             body = meta.tobytes() + b"\n".join(s for s, _ in held)
             yield bucket, None, None, None, None, struct.pack("<I", len(held)) + self.zip.compress(body)
@@ -195,13 +209,13 @@ def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _cut(rows: DataFrame, frequent, buckets: int) -> DataFrame:
+def _cut(rows: DataFrame, frequent, buckets: int, flush_bytes: int, part_bytes: int) -> DataFrame:
     """Super-k-mers of all rows, as blobs for buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sender, often = _Hashes(), _Sender(buckets), frequent.value
         top = _u(1 << 63)
-        for batch in (part for whole in batches for part in _parts(whole, "_text")):
+        for batch in (part for whole in batches for part in _parts(whole, "_text", part_bytes)):
             words, h, ends = _hashed(_binary(batch, "_text"), seen)
             starts = _window_starts(ends, WINDOW)
             if len(starts):
@@ -220,7 +234,7 @@ def _cut(rows: DataFrame, frequent, buckets: int) -> DataFrame:
                 k1, k2 = batch.column("_k1").to_pylist(), batch.column("_k2").to_pylist()
                 for s, n, d, b, bucket in zip(starts[first].tolist(), size.tolist(), doc.tolist(), begin.tolist(), to, strict=True):
                     sender.add(b" ".join(words[s : s + n + WINDOW - 1]), (bucket, k1[d], k2[d], s - b, n))
-            if sender.size >= FLUSH_BYTES:
+            if sender.size >= flush_bytes:
                 yield from _in_parts(sender.flush())
         yield from _in_parts(sender.flush())
 
@@ -296,32 +310,31 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.concat_tables([known, found])
 
 
-def repeated_ranges(rows: DataFrame) -> DataFrame:
+def repeated_ranges(work: Workspace, rows: DataFrame, flush_bytes: int = FLUSH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """k1, k2, start, end: words of rows (``_k1``, ``_k2``, ``_text``) inside windows that start anywhere else too; ranges may overlap."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gaps = F.length(F.regexp_replace("_text", r"[^\x20\x09-\x0D]", ""))
-    total = rows.agg(F.sum(gaps + 1)).first()[0] or 0
-    buckets = max(4 * parts, total // BUCKET_WORDS + 1)
-    frequent = spark.sparkContext.broadcast(frequent_runs(rows, buckets, total))
-    sent = _cut(rows, frequent, buckets)
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = max(4 * parts, size // BUCKET_BYTES + 1)
+    frequent = spark.sparkContext.broadcast(frequent_runs(work, rows, buckets, size // 6, part_bytes=part_bytes))
+    sent = _cut(rows, frequent, buckets, flush_bytes, part_bytes)
     return sent.groupBy("bucket").applyInArrow(_counted, "k1 long, k2 long, start long, end long")
 
 
-def drop_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, text: str = "text", flush_bytes: int = FLUSH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` plus n_words, n_removed and kept (the words left, joined by one space).
 
     A null text has no words; a text of fewer than ``WINDOW`` words keeps all.
     Repeated rows repeat each other, so they lose every word that a window
     covers. An empty table gives an empty result; columns named like results
-    are replaced.
+    are replaced. ``flush_bytes`` and ``part_bytes`` bound what a task holds and move no result.
     """
     made = ("n_words", "n_removed", "kept")
     keep = [c for c in docs.columns if c not in made]
     work = Workspace(docs.sparkSession, "repeats")
     every = [F.col(c) for c in keep if not docs.schema[c].dataType.simpleString().startswith("map")]
     keyed = docs.select(*keep, F.xxhash64(F.lit(1), *every).alias("_k1"), F.xxhash64(F.lit(2), *every).alias("_k2"))
-    found = repeated_ranges(keyed.select("_k1", "_k2", F.coalesce(F.col(text), F.lit("")).alias("_text")))
+    found = repeated_ranges(work, keyed.select("_k1", "_k2", F.coalesce(F.col(text), F.lit("")).alias("_text")), flush_bytes, part_bytes)
     ranges = work.save("ranges", found)
     work.release()
     per_row = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))
