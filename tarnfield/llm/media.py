@@ -205,14 +205,30 @@ def read_payloads(index: DataFrame, root: str) -> DataFrame:
     return _reading(index, root, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", read)
 
 
+def one_place(work: Workspace, index: DataFrame) -> DataFrame:
+    """``index`` with one shard and offset for each digest, whichever tasks stored it; other copies stay unnamed.
+
+    Places are chosen on (digest, shard, offset) alone, combined before the
+    shuffle, so a payload that many rows carry is no hot key and none is moved.
+    """
+    places = work.save("places", index.groupBy("media_sha256").agg(F.min(F.struct("shard", "offset")).alias("_at"), F.min("shard").alias("_lo"), F.max("shard").alias("_hi")).where("_lo <> _hi").select(F.col("media_sha256").alias("_digest"), "_at"))
+    moved = index.join(places, index["media_sha256"] == places["_digest"], "left")
+    keep = [c for c in index.columns if c not in ("shard", "offset")]
+    named = moved.select(*keep, F.coalesce("_at.shard", "shard").alias("shard"), F.coalesce("_at.offset", "offset").alias("offset"))
+    # Ranges of places, so that a task reads a shard from front to back; a payload of many rows is spread by their hash.
+    return named.repartitionByRange("shard", "offset", F.xxhash64(*keep)).sortWithinPartitions("shard", "offset")
+
+
 def text_media(docs: DataFrame) -> DataFrame:
     """Every document's text stored as an image and read back, one row per row of ``docs``.
 
+    ``shard`` and ``offset`` are where the stored form lies in the work folder.
     Null texts are stored as empty ones (one row of filler), repeated rows and
     equal texts get equal values, an empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "media")
     root = work.path("shards")
     index = work.save("index", pack_media(docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload")), "payload", root))
-    read = read_payloads(read_headers(index, root), root)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    placed = work.save("placed", one_place(work, index))
+    read = read_payloads(read_headers(placed, root), root)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
