@@ -101,6 +101,53 @@ def test_media_shards_are_tar_files(spark, odd, tmp_path):
     assert got == found and len({s for s, _ in found}) > 1 and len(set(found.values())) < len(ODD)
 
 
+def plain_features(samples):
+    """Mean, deviation, entropy and shares of 8 ranges, value by value."""
+    import math
+
+    n = len(samples)
+    mean = math.fsum(samples) / n
+    dev = math.sqrt(math.fsum((x - mean) ** 2 for x in samples) / n)
+    shares = [c / n for c in collections.Counter(samples).values()]
+    bands = collections.Counter(x // 32 for x in samples)
+    return mean, dev, -math.fsum(p * math.log2(p) for p in shares), "-".join(str(int(round(1000 * bands[i] / n))) for i in range(8))
+
+
+def test_media_places_and_samples_by_another_reader(spark, odd):
+    """Rows name a place in a tar shard; what lies there decodes, chunk by chunk, to the text."""
+    import struct
+    from pathlib import Path
+
+    from tarnfield.plans.workspace import shared_dir
+
+    rows = odd.unionByName(odd).repartition(5)
+    got = media.text_media(rows).collect()
+    texts = {hashlib.sha256(p).hexdigest(): t for t, p in ((t, (t or "").encode() + b"\xff" * (-len((t or "").encode()) % 576 or 576 * (not t))) for _, t in ODD)}
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    place = {}
+    for r in got:
+        (shard,) = folder.glob(f"tarnfield-media-*/shards/{r['shard']}")
+        data = shard.read_bytes()[r["offset"] : r["offset"] + r["media_bytes"]]
+        at, kinds, packed = 8, [], b""
+        while at < len(data):
+            n, kind = struct.unpack(">I4s", data[at : at + 8])
+            body = data[at + 8 : at + 8 + n]
+            assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+            kinds.append(kind)
+            packed += body if kind == b"IDAT" else b""
+            width, height = struct.unpack(">II", body[:8]) if kind == b"IHDR" else (width, height)
+            at += 12 + n
+        lines = zlib.decompress(packed)
+        assert kinds[0] == b"IHDR" and kinds[-1] == b"IEND" and (width, height) == (r["width"], r["height"]) and len(lines) == height * (width + 1)
+        assert not any(lines[i * (width + 1)] for i in range(height))  # no filter
+        samples = b"".join(lines[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height))
+        assert hashlib.sha256(samples).hexdigest() == r["payload_sha256"] and r["payload_sha256"] in texts
+        mean, dev, entropy, bands = plain_features(samples)
+        told = dict(x.split("=") for x in r["feature"].split(";"))
+        assert float(told["mean"]) == pytest.approx(mean, abs=1e-3) and float(told["dev"]) == pytest.approx(dev, abs=1e-3) and float(told["entropy"]) == pytest.approx(entropy, abs=1e-3) and told["bands"] == bands
+        assert place.setdefault(r["media_sha256"], (r["shard"], r["offset"])) == (r["shard"], r["offset"])  # one place a digest
+
+
 # --- 2: sharding ---
 
 
@@ -445,18 +492,25 @@ def brute_dedup(rows):
     return out
 
 
-def test_superkmers(spark, odd, monkeypatch):
+def test_superkmers(spark, odd):
     passage = " ".join(f"p{i}" for i in range(60))
     more = [(200 + i, f"{i} before {i} {passage} after {i} {i}") for i in range(40)] + [(300, LONG + " " + passage)]
     rows = ODD + more
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for part, flush in ((superkmers.PART_BYTES, superkmers.FLUSH_BYTES), (2000, 3000)):
-        monkeypatch.setattr(superkmers, "PART_BYTES", part)
-        monkeypatch.setattr(superkmers, "FLUSH_BYTES", flush)
-        assert keyed(map(tuple, superkmers.deduplicated_documents(frame).collect())) == keyed(brute_dedup(rows))
+    want = keyed(brute_dedup(rows))
+    assert keyed(map(tuple, superkmers.deduplicated_documents(frame).collect())) == want
+    small = superkmers.drop_repeats(frame.withColumn("kept", F.lit(1)).withColumn("start", F.lit(2)), flush_bytes=3000, part_bytes=2000)
+    assert keyed(map(tuple, small.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect())) == want
     assert superkmers.deduplicated_documents(frame.limit(0)).count() == 0
 
 
+def test_frequent_runs_fit_their_table(spark):
+    texts = [(" ".join(f"a{i} b{i} c{i} d{i}" for i in range(80) if (j * 7 + i) % (1 + i % 9) == 0),) for j in range(900)]
+    rows = spark.createDataFrame(texts, "_text string").coalesce(1)
+    every, few = (superkmers.frequent_runs(Workspace(spark, "test"), rows, 1000, 60_000, 2, most) for most in (1 << 20, 60))
+    assert len(every) > 60 >= len(few) > 0 and set(few) <= set(every)
+
+
 def test_rolled_hash_is_of_the_run():
     h = np.random.default_rng(8).integers(0, 2**63, 200, dtype=np.uint64)
     for n in (1, 2, 3, 5, 35, 64):
