@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Folds of letters that lower-casing leaves alone.
 FOLDS = (("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st"), ("ſ", "s"), ("ς", "σ"))
 TOKEN = "[a-z0-9_]+"
+# Characters that Unicode calls white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+_TOKENS = re.compile(TOKEN).findall
 
 
 def col(x: Column | str) -> Column:
@@ -27,9 +34,17 @@ def tokens(x: Column | str) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(col(x), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def token_list(text: str | None) -> list[str]:
+    """``tokens`` of one text, for functions that see whole rows."""
+    out = (text or "").lower()
+    for given, folded in FOLDS:
+        out = out.replace(given, folded)
+    return _TOKENS(out)
+
+
 def strip(x: Column | str) -> Column:
-    """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, in the Unicode sense; one pass, however much of it stands inside."""
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def norm_ws(x: Column | str) -> Column:

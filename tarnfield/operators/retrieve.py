@@ -7,6 +7,8 @@ over its own top ``k``, so ``k`` is part of the meaning; filters come after it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +40,7 @@ def sub_queries(questions: DataFrame, *texts: Column) -> DataFrame:
 def bm25_scores(queries: DataFrame, index: LexicalIndex, settings: Settings = Settings()) -> DataFrame:
     """qid, sub, id, score over all matches. Query terms are counted before they meet the postings."""
     wanted = queries.select("qid", "sub", F.explode(tokens("q")).alias("term")).groupBy("qid", "sub", "term").agg(F.count("*").alias("qtf"))
-    hits = index.postings.join(wanted.join(index.terms, "term"), "term").join(index.lengths, "id")
+    hits = index.postings.join(wanted.join(index.terms.select("term", "idf"), "term"), "term")
     norm = F.lit(settings.k1) * (F.lit(1 - settings.b) + F.lit(settings.b) * F.col("dl") / F.lit(index.mean_length))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(settings.k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("qid", "sub", "id").agg(F.sum(part).alias("score"))
@@ -53,12 +55,47 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` greatest of each row, the first columns at a tie."""
+    least = np.partition(score, -k, axis=1)[:, -k, None] if score.shape[1] > k else np.full((len(score), 1), -np.inf)
+    above, ties = score > least, score == least
+    return np.nonzero(above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True))))
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """qid, sub, id, score, rn: every question (qid, sub, qv) against every vector (id, v), exhaustively."""
-    few = queries.select("qid", "sub", "qv").limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    side = F.broadcast(queries.select("qid", "sub", "qv")) if few else queries.select("qid", "sub", "qv")
-    scored = vectors.crossJoin(side).select("qid", "sub", "id", dot("qv", "v").alias("score"))
-    return top(scored, ["qid", "sub"], "score", k)
+    """qid, sub, id, score, rn: every question (qid, sub, qv) against every vector (id, v), exhaustively; null vectors match nothing.
+
+    Up to ``MOST_BROADCAST`` questions go to all tasks as one matrix; each
+    multiplies it with its vectors and gives the best ``k`` of its batches, so no
+    vector is moved. More questions meet the vectors block by block.
+    """
+    asked = queries.where("qv is not null").select("qid", "sub", "qv")
+    told = asked.limit(MOST_BROADCAST + 1).toArrow()
+    if told.num_rows > MOST_BROADCAST:
+        return dense_topk_blocks(asked, vectors.where("v is not null"), k)
+    kinds = dict(asked.dtypes) | dict(vectors.dtypes)
+    schema = f"qid {kinds['qid']}, sub {kinds['sub']}, id {kinds['id']}, score double"
+    if not told.num_rows:
+        return queries.sparkSession.createDataFrame([], schema + ", rn int")
+    ship(queries.sparkSession)
+    matrix = np.array(told.column("qv").to_pylist(), np.float64)
+    given = queries.sparkSession.sparkContext.broadcast((told.select(["qid", "sub"]).combine_chunks(), matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = given.value
+        for batch in batches:
+            batch = pa.Table.from_batches([batch]).sort_by("id")
+            v = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            if not len(v):
+                continue
+            exact = q @ v.T
+            row, col = _best(np.round(exact, 9), k)
+            told = names.take(pa.array(row))
+            columns = [told.column("qid").combine_chunks(), told.column("sub").combine_chunks(), batch.column("id").take(pa.array(col)).combine_chunks(), pa.array(exact[row, col])]
+            yield pa.RecordBatch.from_arrays(columns, names=["qid", "sub", "id", "score"])
+
+    found = vectors.where("v is not null").select("id", "v").mapInArrow(run, schema)
+    return top(found, ["qid", "sub"], "score", k)
 
 
 def dense_topk_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -80,13 +117,7 @@ def dense_topk_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
         rows, cols, scores = [], [], []
         for a in range(0, len(q), 256):
             exact = q[a : a + 256] @ v.T
-            score = np.round(exact, 9)
-            least = np.partition(score, -k, axis=1)[:, -k, None] if len(v) > k else np.full((len(score), 1), -np.inf)
-            # All above the k-th score, and of those that equal it the first by id.
-            above = score > least
-            ties = score == least
-            keep = above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
-            row, col = np.nonzero(keep)
+            row, col = _best(np.round(exact, 9), k)
             rows, cols, scores = [*rows, row + a], [*cols, col], [*scores, exact[row, col]]
         row, col = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
         return pa.table({"qid": left.column("qid").take(row), "sub": left.column("sub").take(row), "id": right.column("id").take(col), "score": np.concatenate(scores)})
