@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tarnfield.functions import rules, text
 from tarnfield.functions.extract import menu_paths, sample_files
 from tarnfield.functions.vocabulary import Alias, matched_aliases, user_terms, vendor_terms
-from tarnfield.operators import chat, chunks, evaluate, index, lookup, pages, retrieve, toc
+from tarnfield.operators import chat, chunks, evaluate, index, lookup, pages, retrieve, toc, tools
+from tarnfield.plans.workspace import Workspace
 from tarnfield.plugins import OverlapReranker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,13 +194,27 @@ def candidate_cap(spark, d):
     return retrieve.top(_pool(spark, d, 1), ["qid"], "fused", 24).select("qid", F.col("rn").cast("long").alias("rn"), "id")
 
 
-_BOOST = f"""{_cte_search(2)},
-typed AS (SELECT f.*, {TYPE_SQL} AS page_type, {_rules_sql("b.text", rules.intent_rules(), rules.DEFAULT_INTENT)} AS intent
+def _boost_sql(pool: str = "true", intent: str | None = None, k: int = 6, rerank: bool = False) -> str:
+    """Search as CTEs: filters on the pool, the cap, perhaps the reranker, the boost and the first ``k``."""
+    asked = f"'{intent}'" if intent else _rules_sql("b.text", rules.intent_rules(), rules.DEFAULT_INTENT)
+    words = "list_distinct(list_filter(string_split_regex(" + FOLD + ", '[\\s]+'), lambda w: w <> ''))"
+    base, extra = "fused", ""
+    if rerank:
+        asked_words, held = words.format("b.text"), words.format("substr(d.text, 1, 800)")
+        extra = f"""rr AS (SELECT c.*, CAST(len(list_intersect({asked_words}, {held})) AS DOUBLE) / greatest(1, len({asked_words})) AS rerank_score FROM cap c JOIN documents d ON d.doc_id = c.id JOIN benchmark b ON b.item_id = c.qid),
+lev AS (SELECT *, CASE WHEN max(rerank_score) OVER w - min(rerank_score) OVER w < 1e-12 THEN 1.0 ELSE (rerank_score - min(rerank_score) OVER w) / (max(rerank_score) OVER w - min(rerank_score) OVER w) END AS base FROM rr WINDOW w AS (PARTITION BY qid)),"""
+        base = "base"
+    return f"""{_cte_search(2)},
+typed AS (SELECT f.*, {TYPE_SQL} AS page_type, {asked} AS intent, d.source, d.lang, d.text AS passage
           FROM fus f JOIN documents d ON d.doc_id = f.id LEFT JOIN embeddings e ON e.vec_id = f.id JOIN benchmark b ON b.item_id = f.qid),
-cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC, id) AS c FROM typed) WHERE c <= 24),
-boost AS (SELECT *, 0.15 * {_weights_sql("intent", "page_type")} AS boost FROM cap),
-hits AS (SELECT *, fused + boost AS score FROM boost),
-fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rn FROM hits) WHERE rn <= 6)"""
+cap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 9) DESC, id) AS c FROM typed WHERE {pool}) WHERE c <= 24),
+{extra}
+boost AS (SELECT *, 0.15 * {_weights_sql("intent", "page_type")} AS boost FROM {"lev" if rerank else "cap"}),
+hits AS (SELECT *, {base} + boost AS score FROM boost),
+fin AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rn FROM hits) WHERE rn <= {k})"""
+
+
+_BOOST = _boost_sql()
 
 
 def _search(spark, d, **how) -> DataFrame:
@@ -217,9 +232,52 @@ def top_relevance_gate(spark, d):
     return _rounded(retrieve.top_relevance(_questions(spark, d), _search(spark, d)), "top_relevance")
 
 
-@query()
+@query(f"WITH {_boost_sql(rerank=True)} SELECT qid, rn, id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score FROM fin")
 def hybrid_search_reranked(spark, d):
-    return _rounded(_search(spark, d, reranker=OverlapReranker()).select("qid", "rn", "id", "score", "rerank_score"), "score", "rerank_score")
+    return _rounded(_search(spark, d, reranker=OverlapReranker()).select("qid", F.col("rn").cast("long").alias("rn"), "id", "score", "rerank_score"), "score", "rerank_score")
+
+
+@query(f"WITH {_BOOST} SELECT qid, id, intent, page_type, round(boost, 6) AS boost, round(score, 6) AS score FROM hits")
+def hybrid_type_boost(spark, d):
+    pool = retrieve.top(_pool(spark, d, 2).join(_chunks(spark, d), "id"), ["qid"], "fused", 24, "c")
+    asked = _questions(spark, d).select("qid", rules.intent("question").alias("intent"))
+    return _rounded(retrieve.boosted(pool.join(asked, "qid"), "fused").select("qid", "id", "intent", "page_type", "boost", "score"), "boost", "score")
+
+
+def _as_chunks(spark, d) -> DataFrame:
+    """Documents as chunks of a page for each source: language as sample and figure."""
+    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    rows = table(spark, d, "documents").join(label, "doc_id", "left")
+    figure = F.struct(F.lit("").alias("figure_id"), F.concat(F.lit("In "), "lang").alias("caption"), F.concat(F.lit("img/"), "lang", F.lit(".png")).alias("src"), F.lit("").alias("alt"))
+    source = F.coalesce("source", F.lit(""))
+    return rows.select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), source.alias("path"), F.concat(F.lit("https://example.com/help/"), source).alias("url"), F.concat(F.lit("Page of "), source).alias("title"), source.alias("book"),
+        F.array(F.lit("Guide"), source).alias("breadcrumb"), F.col("lang").alias("section"), type_of(F.col("label")).alias("page_type"), "text", F.array(figure).alias("figures"),
+        F.array(F.concat(F.lit("File > "), "lang")).alias("menu_paths"), F.array(F.concat("lang", F.lit(".csv"))).alias("sample_data"),
+    )
+
+
+@query(f"WITH {_boost_sql('source = ' + chr(39) + 'src1' + chr(39), k=20)} SELECT qid, rn, 'Page of src1' AS title, 'src1' AS book, 'Guide > src1' AS breadcrumb, lang AS section, page_type, 'https://example.com/help/src1' AS url, md5(passage) AS text_md5, lang || '.csv' AS samples, round(score, 4) AS score FROM fin")
+def search_payload(spark, d):
+    """The search tool over one book; 40 excerpts are asked for, 20 are the most."""
+    hits = _search(spark, d, k=tools.bounded(40, 20), books=["src1"])
+    shown = tools.payload(hits, _as_chunks(spark, d))
+    return shown.select("qid", F.col("rn").cast("long").alias("rn"), "title", "book", "breadcrumb", "section", "page_type", "url", F.md5("text").alias("text_md5"), F.array_join("sample_data", ",").alias("samples"), "score")
+
+
+@query(f"""WITH {_boost_sql("page_type = 'example'", "example", 15)}, e AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rn) AS n FROM fin WHERE contains(lang || '.csv', 'e'))
+SELECT qid, n AS "at", rn, md5(passage) AS text_md5, round(score, 4) AS score FROM e WHERE n <= 5""")
+def find_example(spark, d):
+    asked = _questions(spark, d).withColumn("intent", F.lit("example"))
+    hits = retrieve.search(asked, _queries(spark, d, 2), _lexical(spark, d), _vectors(spark, d), _chunks(spark, d), 15, page_types=["example"])
+    found = tools.example_hits(hits, _as_chunks(spark, d), "E", 5)
+    return found.select("qid", F.col("at").cast("long").alias("at"), F.col("rn").cast("long").alias("rn"), F.md5("text").alias("text_md5"), "score")
+
+
+@query(f"WITH {_boost_sql(k=24)}, f AS (SELECT qid, lang, min(rn) AS rn FROM fin GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rn) AS n FROM f) SELECT g.qid, n AS at, 'In ' || g.lang AS caption, g.lang || '.png' AS local_name, 'https://example.com/help/img/' || g.lang || '.png' AS source_url, 'Page of ' || fin.source AS page_title FROM g JOIN fin ON fin.qid = g.qid AND fin.rn = g.rn WHERE n <= 6")
+def find_figures(spark, d):
+    found = tools.figure_hits(_search(spark, d, k=24), _as_chunks(spark, d), 6)
+    return found.select("qid", F.col("at").cast("long").alias("at"), "caption", "local_name", "source_url", "page_title")
 
 
 @query(f"WITH {_BOOST}, w AS (SELECT qid FROM fin WHERE rn = 1 AND dense_cosine < 0.45), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rn FROM hits)) SELECT qid, rn, id, round(score, 6) AS score FROM r WHERE rn <= 6 OR (rn <= 9 AND qid IN (SELECT qid FROM w))")
@@ -305,10 +363,113 @@ def bridge_matched_aliases(spark, d):
 # --- pages and chunks ---
 
 
-@query()
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS md FROM documents),
+s AS (SELECT doc_id, md, trim(md, {_WS}) AS body, list_filter(string_split_regex(trim(md, {_WS}), '\\n\\s*\\n'), lambda p: trim(p, {_WS}) <> '') AS ps FROM b),
+r AS (SELECT doc_id, ps, 1 AS i, CAST([] AS VARCHAR[]) AS held, CAST(0 AS BIGINT) AS cost, CAST([] AS VARCHAR[]) AS done FROM s WHERE length(md) > 200 AND length(body) > 1200
+UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN len(kept) = 0 AND length(p) + 2 > 1200 THEN kept ELSE list_append(kept, p) END, CASE WHEN len(kept) = 0 AND length(p) + 2 > 1200 THEN left_cost ELSE left_cost + length(p) + 2 END,
+  CASE WHEN len(kept) = 0 AND length(p) + 2 > 1200 THEN list_append(sent, p) ELSE sent END
+ FROM (SELECT *, CASE WHEN full_ THEN coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) ELSE cost END AS left_cost, CASE WHEN full_ THEN list_append(done, array_to_string(held, chr(10) || chr(10))) ELSE done END AS sent
+  FROM (SELECT *, ps[i] AS p, len(held) > 0 AND cost + length(ps[i]) + 2 > 1200 AS full_, CASE WHEN len(held) > 0 AND cost + length(ps[i]) + 2 > 1200 THEN list_filter(held, lambda x, j: list_sum(list_transform(held[j:], lambda y: length(y))) <= 200) ELSE held END AS kept
+   FROM r WHERE i <= len(ps)))),
+e AS (SELECT doc_id, CASE WHEN len(held) > 0 THEN list_append(done, array_to_string(held, chr(10) || chr(10))) ELSE done END AS parts FROM r WHERE i = len(ps) + 1
+UNION ALL SELECT doc_id, CASE WHEN body = '' THEN [] WHEN length(md) <= 200 THEN [md] ELSE [body] END FROM s WHERE length(md) <= 200 OR length(body) <= 1200),
+x AS (SELECT doc_id, unnest(list_filter(parts, lambda q: trim(q, {_WS}) <> '')) AS text, generate_subscripts(list_filter(parts, lambda q: trim(q, {_WS}) <> ''), 1) - 1 AS ord FROM e)
+SELECT x.doc_id, ord, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT x.doc_id, ord, CASE WHEN length(md) <= 200 THEN text ELSE trim(text, {_WS}) END AS t FROM x JOIN s ON s.doc_id = x.doc_id) x""")
 def chunk_documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")).alias("markdown"))
-    return chunks.split(docs).select("doc_id", "ord", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return chunks.split(docs).select("doc_id", F.col("ord").cast("long").alias("ord"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+# Help pages written from the part table in every kind of markup that the parser knows, and what must come out of them.
+_PAGE_HTML = (
+    '<html><head><link rel="Prev" href="p', "K", '.shtml#x"></head><body><div class="ww_skin_breadcrumbs"><a>Atlas</a> &gt; <a>', "T", '</a></div><div class="ww_creation_date">Publication date: 2020-', "K",
+    '</div><div id="page_content"><div class="miniTOC_x">skip</div><h1>Overview of <b>', "N", "</b></h1><p>A  ", "N", " of type <i>", "T", '</i><br>.</p><p class="Figure_Title"><span class="zmpFigTab">Figure ', "K", "</span> Map of ", "N",
+    '</p><p><img src="../img/', "K", '%20map.png" alt="alt ', "K", '"></p><p class="code">x = ', "K", ';</p><p class="codeOutput">y = ', "N", ';</p><p class="N2bullet">deep ', "K", '</p><p class="bullet">flat ', "T",
+    '</p><p class="Note">Note: careful with ', "N", '</p><p class="defTerm">', "T", '</p><table><caption>Facts</caption><tr><th>name</th><th>key|no</th></tr><tr><td><span class="code">', "N", "</span></td><td>", "K",
+    "</td></tr><tr><td>only</td></tr></table><ol><li>one<li>two ", "K", "</ol><pre>raw ", "K", "\n  kept</pre><h3>Use</h3><div><p>Select Analyze &gt; Part ", "K", " &gt; Fit. Then open the Part", "K", ".csv table.</p></div><footer>gone</footer></div></body></html>",
+)
+_PAGE_MARKDOWN = (
+    "# Overview of **", "N", "**\n\nA ", "N", " of type *", "T", "*.\n\n[FIGURE: Figure ", "K", " - Map of ", "N", "]\n\n```code\nx = ", "K", ";\ny = ", "N", ";\n```\n\n  - deep ", "K", "\n- flat ", "T", "\n\n> **Note:** careful with ", "N",
+    "\n\n**", "T", "**\n\n**Facts**\n\n| name | key\\|no |\n|---|---|\n| `", "N", "` | ", "K", " |\n| only |  |\n\n1. one\n2. two ", "K", "\n\n```code\nraw ", "K", "\n  kept\n```\n\n### Use\n\nSelect Analyze > Part ", "K", " > Fit. Then open the Part", "K", ".csv table.",
+)
+_PART_SQL = {"K": "CAST(p_partkey AS VARCHAR)", "N": "p_name", "T": "p_type"}
+
+
+def _sql_text(parts: tuple[str, ...]) -> str:
+    return " || ".join(_PART_SQL.get(x) or "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in parts)
+
+
+def _help_pages(spark, d) -> DataFrame:
+    given = {"K": F.col("p_partkey").cast("string"), "N": F.col("p_name"), "T": F.col("p_type")}
+    return table(spark, d, "part").select(F.concat(F.lit("help/p"), given["K"], F.lit(".shtml")).alias("path"), F.concat(*[given.get(x, F.lit(x)) for x in _PAGE_HTML]).alias("html"))
+
+
+@query(f"""WITH m AS (SELECT 'help/p' || p_partkey || '.shtml' AS path, p_partkey AS k, p_name AS n, p_type AS t, {_sql_text(_PAGE_MARKDOWN)} AS md FROM part)
+SELECT path, 'https://example.com/help/' || path AS url, 'Overview of **' || n || '**' AS title, 'Atlas' AS book, 'Atlas > ' || t AS breadcrumb, 'overview' AS page_type, '2020-' || k AS published, 'help/p' || k || '.shtml' AS prev, '' AS "next",
+md5(md) AS markdown_md5, length(md) AS n_chars, 'Figure ' || k AS figure_id, 'Map of ' || n AS caption, 'img/' || k || ' map.png' AS src, 'alt ' || k AS alt, 'Analyze > Part ' || k || ' > Fit' AS menus, 'Part' || k || '.csv' AS samples FROM m""")
+def help_pages_parse(spark, d):
+    found = pages.documents(_help_pages(spark, d))
+    figure = F.get("figures", F.lit(0))
+    return found.select(
+        "path", "url", "title", "book", F.array_join("breadcrumb", " > ").alias("breadcrumb"), "page_type", "published", "prev", "next", F.md5("markdown").alias("markdown_md5"), F.col("n_chars").cast("long").alias("n_chars"),
+        figure["figure_id"].alias("figure_id"), figure["caption"].alias("caption"), figure["src"].alias("src"), figure["alt"].alias("alt"), F.array_join("menu_paths", ";").alias("menus"), F.array_join("sample_data", ";").alias("samples"),
+    )
+
+
+@query(f"""WITH m AS (SELECT p_partkey AS k, p_name AS n, {_sql_text(_PAGE_MARKDOWN)} AS md FROM part),
+c AS (SELECT k, n, 0 AS ord, 'Overview of **' || n || '**' AS section, substr(md, strpos(md, chr(10)) + 2, strpos(md, chr(10) || '### Use') - strpos(md, chr(10)) - 3) AS text FROM m
+UNION ALL SELECT k, n, 1, 'Overview of **' || n || '** > Use', substr(md, strpos(md, '### Use') + 9) FROM m)
+SELECT 'help/p' || k || '.shtml#' || ord AS chunk_id, section, 'overview' AS page_type, md5(text) AS text_md5, CASE ord WHEN 0 THEN 'img/' || k || ' map.png' ELSE '' END AS figures, 'Analyze > Part ' || k || ' > Fit' AS menus,
+CASE ord WHEN 1 THEN 'Part' || k || '.csv' ELSE '' END AS samples FROM c""")
+def help_pages_chunks(spark, d):
+    found = chunks.chunks(pages.documents(_help_pages(spark, d)), [])
+    return found.select("chunk_id", "section", "page_type", F.md5("text").alias("text_md5"), F.array_join(F.col("figures.src"), ",").alias("figures"), F.array_join("menu_paths", ";").alias("menus"), F.array_join("sample_data", ";").alias("samples"))
+
+
+@query("SELECT p_brand AS menu, p_name AS item, p_brand || ' > ' || p_name AS menu_path, p_type AS description, CASE WHEN p_partkey % 3 = 0 THEN 'macos' ELSE 'windows' END AS platform FROM part")
+def menu_pages(spark, d):
+    """Menu pages of two platforms, a table for each brand, read back into one list."""
+    platform = F.when(F.col("p_partkey") % 3 == 0, "macos").otherwise("windows")
+    row = F.concat(F.lit("<tr><td>"), F.col("p_name"), F.lit("</td><td> "), F.replace(F.col("p_type"), F.lit(" "), F.lit("\n ")), F.lit("</td></tr>"))
+    tables = table(spark, d, "part").groupBy(platform.alias("platform"), "p_brand").agg(F.array_join(F.collect_list(row), "").alias("rows"))
+    html = F.concat(F.lit('<div id="page_content"><table><caption>'), "p_brand", F.lit(" Menu</caption><tr><th>Item</th><th>Description</th></tr>"), "rows", F.lit("</table></div>"))
+    return pages.menus(tables.select("platform", html.alias("html")))
+
+
+@query("""SELECT 'help/r' || r_regionkey || '.shtml' AS path, '' AS anchor, r_name AS title, 1 AS depth, true AS is_folder FROM region UNION ALL
+SELECT 'help/n' || n_nationkey || '.shtml', 'a' || n_nationkey, n_name, 2, false FROM nation""")
+def toc_pages(spark, d):
+    """Contents pages, one for each region with its nations below, read back into lines."""
+    link = lambda path, anchor, name: F.concat(F.lit('<a class="WebWorks_TOC_Link" href="help/'), path, F.lit(".shtml"), anchor, F.lit('">'), name, F.lit("</a>"))
+    nation = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(F.concat(F.lit("<li>"), link(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("#a"), F.col("n_nationkey").cast("string")), F.col("n_name")), F.lit("</li>"))), "").alias("below"))
+    region = table(spark, d, "region").join(nation, F.col("r_regionkey") == F.col("n_regionkey"))
+    html = F.concat(F.lit('<div id="toc:1"><ul><li>'), link(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.lit(""), F.col("r_name")), F.lit("<ul>"), "below", F.lit("</ul></li></ul></div>"))
+    return toc.toc_table(region.select(html.alias("html")), "help").select("path", "anchor", "title", "depth", "is_folder")
+
+
+@query("""SELECT p_name AS ui_name, 'k' || p_partkey AS key, 'help/u' || p_partkey || '.shtml' AS path, 'x' AS anchor FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_type || ' x', 'k' || p_partkey, 'help/u' || p_partkey || '.shtml', 'x' FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'the key ' || p_partkey, 'the_key_' || p_partkey, 'help/u' || p_partkey || '.shtml', 'x' FROM part WHERE p_partkey % 2 = 1""")
+def ui_map_pages(spark, d):
+    """Help maps with several names to a link, or none but the key, read back into one row a name."""
+    k = F.col("p_partkey").cast("string")
+    named = F.col("p_partkey") % 2 == 0
+    key = F.when(named, F.concat(F.lit("k"), k)).otherwise(F.concat(F.lit("the_key_"), k))
+    link = F.concat(F.lit('<p><a id="topic:1:'), key, F.lit('" href="help/u'), k, F.lit('.shtml#x">'), F.when(named, F.concat("p_name", F.lit(", "), "p_type", F.lit(" x"))).otherwise(""), F.lit('</a><a id="topic:1:z" href="other/u.shtml">no</a></p>'))
+    return toc.ui_names(toc.ui_map_table(table(spark, d, "part").select(link.alias("html")), "help")).select("ui_name", "key", "path", "anchor")
+
+
+_ALIAS_TEXT = ("a verdant thing ", "warm tone, Round Part ", "unleafy leafy-ish ", "")
+
+
+@query(f"""WITH t AS (SELECT p_partkey, [{", ".join(f"'{x}'" for x in _ALIAS_TEXT)}][p_partkey % 4 + 1] || p_name AS text FROM part),
+a AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{x.category}', '{p}')" for i, x in enumerate(ALIASES) for p in x.user)}) AS v(i, category, phrase))
+SELECT DISTINCT p_partkey, i AS alias_idx, category FROM t JOIN a ON regexp_matches(text, '(?i)(^|[^a-z0-9_])' || phrase || '([^a-z0-9_]|$)')""")
+def bridge_matched_aliases_varied(spark, d):
+    heads = F.array(*[F.lit(x) for x in _ALIAS_TEXT])
+    return matched_aliases(table(spark, d, "part"), "p_partkey", F.concat(F.get(heads, (F.col("p_partkey") % 4).cast("int")), "p_name"), ALIASES)
 
 
 @query("SELECT n_nationkey, 0 AS ord, r_name || ' > ' || n_name AS section, repeat(n_name || ' is a nation of ' || r_name || '. ', 9) || 'End.' AS text FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -391,18 +552,30 @@ def whats_this(spark, d):
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
 
-@query(f"""WITH t AS (SELECT n_nationkey AS tid, 'find the ' || p_name || ' fastener' AS task FROM nation JOIN part ON p_partkey = n_nationkey + 1),
-w AS (SELECT tid, task, list_filter({_WORDS.format("task")}, lambda x: len(x) > 2 AND x NOT IN ({", ".join(f"'{s}'" for s in lookup.TASK_STOP_WORDS)})) AS asked FROM t),
-i AS (SELECT p_partkey AS ord, p_type || ' > ' || p_name AS menu_path, lower(p_name) AS item, lower(p_brand || ' ' || p_type) AS descr FROM part),
-iw AS (SELECT *, {_WORDS.format("item")} AS iw, {_WORDS.format("descr")} AS dw FROM i),
-s AS (SELECT tid, ord, menu_path, 6.0 * len(list_filter(asked, lambda a: len(list_filter(iw, lambda h: starts_with(h, a) AND len(h) - len(a) <= 2)) > 0)) / len(asked)
- + 3.0 * len(list_filter(asked, lambda a: len(list_filter(dw, lambda h: starts_with(h, a) AND len(h) - len(a) <= 2)) > 0)) / len(asked)
- + list_sum(list_transform(['ring', 'bolt', 'nut'], lambda n: CASE WHEN n = item THEN 8 WHEN contains(item, n) THEN 4 WHEN contains(descr, n) THEN 2 ELSE 0 END)) + CASE WHEN lower(task) = item THEN 10 ELSE 0 END AS score FROM w, iw)
-SELECT tid, rn, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY round(score, 9) DESC, ord) AS rn FROM s WHERE score > 0) WHERE rn <= 5""")
-def menu_lookup(spark, d):
-    part = table(spark, d, "part")
-    tasks = table(spark, d, "nation").join(part, F.col("p_partkey") == F.col("n_nationkey") + 1).select(F.col("n_nationkey").alias("tid"), F.concat(F.lit("find the "), "p_name", F.lit(" fastener")).alias("task"))
-    return _found_menus(part, tasks)
+@query(f"""WITH q AS (SELECT nid, CASE nid % 4 WHEN 0 THEN 'src' || nid WHEN 1 THEN 'PAGE of SRC' || nid WHEN 2 THEN 'of src' || (nid % 20) ELSE 'nowhere' || nid END AS page FROM (SELECT n_nationkey AS nid FROM nation)),
+p AS (SELECT source AS path, 'page of ' || source AS title, min(doc_id) AS ord, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS text_md5, string_agg(DISTINCT 'File > ' || lang, ',' ORDER BY 'File > ' || lang) AS menus,
+      string_agg(DISTINCT lang || '.csv', ',' ORDER BY lang || '.csv') AS samples, count(DISTINCT lang) AS n_figures, {TYPE_SQL.replace("label", "first(label ORDER BY doc_id)")} AS page_type FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT nid, path, row_number() OVER (PARTITION BY nid ORDER BY CASE WHEN path = page THEN 0 WHEN title = lower(page) THEN 1 ELSE 2 END, ord) AS rn FROM q JOIN p ON path = page OR contains(title, lower(page)))
+SELECT q.nid, q.page, p.path, 'Page of ' || p.path AS title, 'Guide > ' || p.path AS breadcrumb, p.page_type, p.text_md5, p.menus, p.samples, p.n_figures, CASE WHEN p.path IS NULL THEN 'no page matching ' || q.page END AS error
+FROM q LEFT JOIN m ON m.nid = q.nid AND m.rn = 1 LEFT JOIN p ON p.path = m.path""")
+def page_tool(spark, d):
+    nid = F.col("n_nationkey")
+    as_text = nid.cast("string")
+    page = F.when(nid % 4 == 0, F.concat(F.lit("src"), as_text)).when(nid % 4 == 1, F.concat(F.lit("PAGE of SRC"), as_text)).when(nid % 4 == 2, F.concat(F.lit("of src"), (nid % 20).cast("string"))).otherwise(F.concat(F.lit("nowhere"), as_text))
+    found = tools.page_tool(_as_chunks(spark, d).where("path <> ''"), table(spark, d, "nation").select(nid.alias("nid"), page.alias("page")))
+    size = F.when(F.col("path").isNotNull(), F.size("figures").cast("long"))
+    return found.select("nid", "page", "path", "title", "breadcrumb", "page_type", F.md5("text").alias("text_md5"), F.array_join("menu_paths", ",").alias("menus"), F.array_join("sample_data", ",").alias("samples"), size.alias("n_figures"), "error")
+
+
+@query("SELECT source AS book, count(*) AS n_chunks FROM documents WHERE source <> '' GROUP BY source")
+def books_by_chunks(spark, d):
+    return lookup.books_by_chunks(_as_chunks(spark, d))
+
+
+@query("WITH f AS (SELECT lang, min(doc_id) AS first FROM documents WHERE source = 'src1' GROUP BY lang) SELECT '# src1' || chr(10) || chr(10) || string_agg('- In ' || lang || '  (page)', chr(10) ORDER BY first) AS markdown FROM f")
+def book_resource(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("path"), F.concat(F.lit("In "), "lang").alias("title"), F.lit("page").alias("page_type"), F.col("source").alias("book"))
+    return tools.book_resource(rows, "src1")
 
 
 @query(f"""WITH t AS (SELECT item_id AS tid, 'find the ' || text || ' fastener' AS task FROM benchmark),
@@ -413,8 +586,7 @@ s AS (SELECT tid, ord, menu_path, 6.0 * len(list_filter(asked, lambda a: len(lis
  + 3.0 * len(list_filter(asked, lambda a: len(list_filter(dw, lambda h: starts_with(h, a) AND len(h) - len(a) <= 2)) > 0)) / len(asked)
  + list_sum(list_transform(['ring', 'bolt', 'nut'], lambda n: CASE WHEN n = item THEN 8 WHEN contains(item, n) THEN 4 WHEN contains(descr, n) THEN 2 ELSE 0 END)) + CASE WHEN lower(task) = item THEN 10 ELSE 0 END AS score FROM w, iw)
 SELECT tid, rn, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY round(score, 9) DESC, ord) AS rn FROM s WHERE score > 0) WHERE rn <= 5""")
-def menu_lookup_whole(spark, d):
-    """For every question of the benchmark; ``menu_lookup`` looks up the 25 parts that its SQL names."""
+def menu_lookup(spark, d):
     return _found_menus(table(spark, d, "part"), _questions(spark, d).select(F.col("qid").alias("tid"), F.concat(F.lit("find the "), "question", F.lit(" fastener")).alias("task")))
 
 
@@ -451,12 +623,6 @@ def resolve_page(spark, d):
     return lookup.resolve_page(asked, part.select(F.col("p_partkey").cast("string").alias("path"), F.col("p_name").alias("title"), F.col("p_partkey").alias("ord")))
 
 
-@query("""WITH x AS (SELECT c.conv_id AS qid, c.turn AS rn, g.pos, lower(substr(w, 1, 2)) AS src FROM conversations c, (SELECT unnest([1, 2, 3]) AS pos) g, LATERAL (SELECT split_part(c.text, ' ', g.pos) AS w)),
-f AS (SELECT qid, src, min((rn, pos)) AS pl FROM x WHERE src <> '' GROUP BY ALL), n AS (SELECT qid, src, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f) SELECT qid, k AS at, src FROM n WHERE k <= 6""")
-def first_occurrence_distinct(spark, d):
-    return _first_occurrences(spark, d, F.slice(F.split("text", " "), 1, 3))
-
-
 def _first_occurrences(spark, d, words: Column) -> DataFrame:
     figures = F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(F.lower(F.substring(w, 1, 2)).alias("src")))
     hits = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rn"), figures.alias("figures"))
@@ -465,8 +631,7 @@ def _first_occurrences(spark, d, words: Column) -> DataFrame:
 
 @query("""WITH x AS (SELECT conv_id AS qid, turn AS rn, lower(substr(unnest(string_split(text, ' ')), 1, 2)) AS src, generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations),
 f AS (SELECT qid, src, min((rn, pos)) AS pl FROM x WHERE src <> '' GROUP BY ALL), n AS (SELECT qid, src, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f) SELECT qid, k AS at, src FROM n WHERE k <= 6""")
-def first_occurrence_distinct_whole(spark, d):
-    """Of all words of each turn; ``first_occurrence_distinct`` reads the three that its SQL names."""
+def first_occurrence_distinct(spark, d):
     return _first_occurrences(spark, d, F.split("text", " "))
 
 
@@ -502,17 +667,9 @@ def route_chitchat(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", rules.route(q).alias("route"))
 
 
-@query("""WITH w AS (SELECT conv_id AS qid, turn AS rn, unnest(string_split(text, ' ')[1:4]) AS v, generate_subscripts(string_split(text, ' ')[1:4], 1) AS p FROM conversations),
-f AS (SELECT qid, v, min((rn, p)) AS pl FROM w GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f) SELECT qid, string_agg(v, '|' ORDER BY k) AS shown FROM n WHERE k <= 5 GROUP BY qid""")
-def answer_collect(spark, d):
-    hits = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rn"), F.slice(F.split("text", " "), 1, 4).alias("shown"))
-    return chat.collected(hits, "shown").select("qid", F.array_join("shown", "|").alias("shown"))
-
-
 @query("""WITH w AS (SELECT conv_id AS qid, turn AS rn, unnest(string_split(text, ' ')) AS v, generate_subscripts(string_split(text, ' '), 1) AS p FROM conversations),
 f AS (SELECT qid, v, min((rn, p)) AS pl FROM w GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pl) AS k FROM f) SELECT qid, string_agg(v, '|' ORDER BY k) AS shown FROM n WHERE k <= 5 GROUP BY qid""")
-def answer_collect_whole(spark, d):
-    """Of all words of each turn; ``answer_collect`` reads the four that its SQL names."""
+def answer_collect(spark, d):
     hits = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rn"), F.split("text", " ").alias("shown"))
     return chat.collected(hits, "shown").select("qid", F.array_join("shown", "|").alias("shown"))
 
@@ -534,23 +691,44 @@ def _recall_mrr(spark, d, hits: DataFrame) -> DataFrame:
     return _rounded(evaluate.recall_mrr(ranks, "category"), "recall", "mrr")
 
 
-@query("""WITH s AS (SELECT a.vec_id AS qid, a.label AS category, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rn
-FROM embeddings a, embeddings b WHERE a.vec_id < 40), r AS (SELECT qid, category, min(CASE WHEN other = category AND rn > 1 THEN rn END) AS rank FROM s WHERE rn <= 6 GROUP BY ALL)
-SELECT category, count(*) AS n, count(rank) AS found, round(count(rank) / count(*), 6) AS recall, round(coalesce(sum(1.0 / rank), 0) / count(*), 6) AS mrr FROM r GROUP BY ROLLUP (category)""")
-def eval_recall_mrr(spark, d):
-    asked = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("qid"), F.lit(0).alias("sub"), F.col("embedding").alias("qv"))
-    return _recall_mrr(spark, d, retrieve.dense_topk(asked, _vectors(spark, d), 6))
-
-
 @query("""WITH s AS (SELECT a.vec_id AS qid, a.label AS category, b.label AS other, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rn
 FROM embeddings a, embeddings b), r AS (SELECT qid, category, min(CASE WHEN other = category AND rn > 1 THEN rn END) AS rank FROM s WHERE rn <= 6 GROUP BY ALL)
 SELECT category, count(*) AS n, count(rank) AS found, round(count(rank) / count(*), 6) AS recall, round(coalesce(sum(1.0 / rank), 0) / count(*), 6) AS mrr FROM r GROUP BY ROLLUP (category)""")
-def eval_recall_mrr_whole(spark, d):
-    """Of every vector; ``eval_recall_mrr`` asks the 40 that its SQL names."""
+def eval_recall_mrr(spark, d):
     asked = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.lit(0).alias("sub"), F.col("embedding").alias("qv"))
     return _recall_mrr(spark, d, retrieve.dense_topk_blocks(asked, _vectors(spark, d), 6))
 
 
+@query(f"""WITH {_cte_search(1)}, v AS (SELECT 'dense' AS variant, qid, id, dense_score AS s FROM fus UNION ALL SELECT 'lexical', qid, id, bm25_score FROM fus UNION ALL SELECT 'fused', qid, id, fused FROM fus),
+k AS (SELECT v.*, row_number() OVER (PARTITION BY variant, qid ORDER BY round(s, 9) DESC, id) AS rn FROM v),
+r AS (SELECT variant, qid, min(CASE WHEN d.label = w.label THEN rn END) AS rank FROM k LEFT JOIN embeddings d ON d.vec_id = k.id LEFT JOIN embeddings w ON w.vec_id = k.qid WHERE rn <= 6 GROUP BY ALL)
+SELECT variant, count(*) AS n, count(rank) AS found, round(count(rank) / count(*), 6) AS recall, round(coalesce(sum(1.0 / rank), 0) / count(*), 6) AS mrr FROM r GROUP BY variant""")
+def eval_ablations(spark, d):
+    """Either retriever alone and both; a hit is relevant if it has the question's label."""
+    work = Workspace(spark, "ablations")
+    pool = work.save("pool", _pool(spark, d, 1))
+    label = table(spark, d, "embeddings").select("vec_id", "label")
+    pool = pool.join(label.toDF("id", "held"), "id", "left").join(label.toDF("qid", "asked"), "qid", "left")
+    runs = {name: retrieve.top(pool, ["qid"], column, 6) for name, column in (("dense", "dense_score"), ("lexical", "bm25_score"), ("fused", "fused"))}
+    return _rounded(evaluate.ablations(runs, F.col("held") == F.col("asked")), "recall", "mrr")
+
+
+@query("SELECT source AS book, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, round(avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END), 6) AS with_terms, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0 END), 6) AS with_figures FROM documents GROUP BY ROLLUP (source)")
+def chunk_stats(spark, d):
+    none = F.array().cast("array<string>")
+    rows = table(spark, d, "documents").select(F.col("source").alias("book"), "n_chars", F.when(F.col("lang") == "en", F.array("lang")).otherwise(none).alias("alias_terms"), F.when(F.col("doc_id") % 3 == 0, F.array("lang")).otherwise(none).alias("figures"))
+    return _rounded(evaluate.chunk_stats(rows), "mean_chars", "with_terms", "with_figures")
+
+
+@query("""SELECT coalesce(l.path, b.path) AS path, l.live, b.built FROM (SELECT doc_id AS path, lang AS live FROM documents WHERE doc_id % 7 <> 0) l
+FULL JOIN (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS built FROM documents WHERE doc_id % 11 <> 0) b ON b.path = l.path WHERE l.live IS DISTINCT FROM b.built""")
+def stale_pages(spark, d):
+    docs = table(spark, d, "documents")
+    live = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), F.col("lang").alias("published"))
+    built = docs.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("published"))
+    return evaluate.stale(live, built)
+
+
 @query(f"WITH a AS (SELECT {_rules_sql('q', rules.intent_rules(), rules.DEFAULT_INTENT)} AS found, CASE WHEN turn % 8 = 2 THEN 'what_is' WHEN turn % 8 = 1 THEN 'where_is_it' END AS expected FROM (SELECT turn, {_ASKED} AS q FROM conversations WHERE role = 'user')) SELECT count(*) AS n, round(avg(CASE WHEN found = expected THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM a WHERE expected IS NOT NULL")
 def intent_accuracy(spark, d):
     expected = F.when(F.col("turn") % 8 == 2, "what_is").when(F.col("turn") % 8 == 1, "where_is_it")

@@ -27,7 +27,7 @@ def test_entry_imports():
 
 
 def test_recall_asks_every_vector(spark, small):
-    rows = catalog.eval_recall_mrr_whole(spark, small).collect()
+    rows = catalog.eval_recall_mrr(spark, small).collect()
     labels = [r["label"] for r in spark.read.parquet(f"{small}/embeddings.parquet").select("label").collect()]
     assert {r["category"]: r["n"] for r in rows} == {None: len(labels)} | {x: labels.count(x) for x in labels}
 
@@ -45,10 +45,10 @@ def test_blocks_find_what_the_join_finds(spark, monkeypatch):
 def test_values_first_seen_late_in_a_turn_are_listed(spark, tmp_path):
     turns = spark.createDataFrame([(1, 0, "user", "a a a a Bcd"), (1, 1, "user", "e")], "conv_id long, turn long, role string, text string")
     turns.write.parquet(f"{tmp_path}/conversations.parquet")
-    assert [r["src"] for r in catalog.first_occurrence_distinct_whole(spark, str(tmp_path)).orderBy("at").collect()] == ["a", "bc", "e"]
-    assert catalog.answer_collect_whole(spark, str(tmp_path)).first()["shown"] == "a|Bcd|e"
+    assert [r["src"] for r in catalog.first_occurrence_distinct(spark, str(tmp_path)).orderBy("at").collect()] == ["a", "bc", "e"]
+    assert catalog.answer_collect(spark, str(tmp_path)).first()["shown"] == "a|Bcd|e"
 
 
 def test_menus_are_looked_up_for_every_question(spark, small):
     asked = {r["item_id"] for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id").collect()}
-    assert {r["tid"] for r in catalog.menu_lookup_whole(spark, small).select("tid").collect()} == asked
+    assert {r["tid"] for r in catalog.menu_lookup(spark, small).select("tid").collect()} == asked
