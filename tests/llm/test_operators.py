@@ -164,6 +164,69 @@ def test_shards(spark, odd):
     assert kd_shards.text_shards(odd.limit(0)).count() == 0
 
 
+def plain_kd(rows, shards, heavy):
+    """Shard of each row, by recursion over sorted lists; rows: (positions, group, tie, weight)."""
+    out = {}
+
+    def crossing(keyed, target):
+        sums = collections.Counter()
+        for k, w in keyed:
+            sums[k] += w
+        run = 0
+        for k in sorted(sums):
+            if run + sums[k] >= target or k == max(sums):
+                return k, run, sums[k]
+            run += sums[k]
+
+    def grow(held, first, n):
+        if n == 1 or not held:
+            out.update({i: first for i in held})
+            return
+        spans = [max(rows[i][0][d] for i in held) - min(rows[i][0][d] for i in held) for d in range(len(rows[0][0]))]
+        d = spans.index(max(spans))
+        key = {i: (rows[i][0][d] << 32) | (rows[i][1] & 0xFFFFFFFF) for i in held}
+        target = round(sum(rows[i][3] for i in held) * (n // 2) / n)
+        cut, below, at = crossing([(key[i], rows[i][3]) for i in held], target)
+        rest, short = 0, target - below
+        if at > heavy:
+            tie, under, on = crossing([(rows[i][2], rows[i][3]) for i in held if key[i] == cut], short)
+            rest = tie + (short - under > on / 2)
+        else:
+            cut += short > at / 2
+        right = {i for i in held if key[i] > cut or (key[i] == cut and rows[i][2] >= rest)}
+        grow([i for i in held if i not in right], first, n // 2)
+        grow([i for i in held if i in right], first + n // 2, n - n // 2)
+
+    grow(list(range(len(rows))), 0, shards)
+    return out
+
+
+def test_shards_equal_a_plain_tree(spark):
+    import math
+
+    rng = np.random.default_rng(23)
+    given = []
+    for i in range(500):
+        g = int(rng.integers(0, 120)) if i % 4 else 999  # a hot group, and ties
+        at = (float(g % 17) * 3, float(g % 5), None if g % 11 == 0 else float(g * g % 101))
+        given.append((i, *at, g * 0x9E3779B97F4A7C15 % 2**63, int(rng.integers(0, 2**62)), int(rng.integers(1, 400)), "x"))
+    given += [given[7], given[8]]  # repeated rows
+    frame = spark.createDataFrame(given, "i long, a double, b double, c double, g long, t long, w long, shard string")
+    got = kd_shards.kd_shards(frame, {n: F.col(n) for n in "abc"}, F.col("w"), F.col("g"), F.col("t"), 7).collect()
+    places = []
+    for d in (1, 2, 3):
+        known = [r[d] for r in given if r[d] is not None]
+        lo, hi = min(known), max(known)
+        places.append([0 if r[d] is None else math.floor((r[d] - lo) / (hi - lo) * kd_shards.STEPS + 0.5) for r in given])
+    rows = [(tuple(p[j] for p in places), r[4], r[5], r[6]) for j, r in enumerate(given)]
+    want = plain_kd(rows, 7, 0.05 * sum(r[6] for r in given) / 7)
+    assert sorted((r["i"], r["shard"]) for r in got) == sorted((given[j][0], s) for j, s in want.items())
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 # --- 3: toxicity ---
 
 
@@ -333,6 +396,77 @@ def test_every_labelled_language_is_modelled(spark):
     assert got == {0: "l00", 69: "l69", 70: "long", 71: "und"}
 
 
+def plain_fusion(model, rows):
+    """(language, confidence) of each (body, host, domain, suffix, declared), by loops over the definitions."""
+    import math
+
+    names, table = model
+    k, scale = len(names), 1_000_000
+
+    def shares(logs):
+        return [1 / math.fsum(math.exp(y - x) for y in logs) for x in logs]
+
+    seen = []
+    for body, *keys in rows:
+        grams = language.trigrams((body or "").encode())
+        n = len(grams) if len(grams) > 1 else 0
+        means = [round(math.fsum(float(table[g, i]) for g in grams) / n, 9) if n else 0.0 for i in range(k)]
+        like = n > 0 and max(means) >= language.UNLIKE
+        logs = [m * min(n, 30.0) for m in means]
+        seen.append((n, like, logs, [math.floor(p * scale + 0.5) if like else 0 for p in shares(logs)], keys))
+    sums = [{} for _ in range(4)]  # host, domain, suffix, declared
+    total = [sum(x[3][i] for x in seen) for i in range(k)]
+    for _, _, _, r, keys in seen:
+        for by, key in zip(sums, keys, strict=True):
+            if key:
+                by[key] = [a + b for a, b in zip(by.get(key, [0] * k), r, strict=True)]
+    every = [x / scale for x in total]
+    base = [(x + 1) / (sum(every) + k) for x in every]
+    out = []
+    for n, like, logs, r, keys in seen:
+        host, domain, suffix, declared = ([max((a - b) / scale, 0.0) for a, b in zip(by[key], r, strict=True)] if key else [0.0] * k for by, key in zip(sums, keys, strict=True))
+        prior = base if not keys[1] else [(c + 20 * b) / (sum(domain) + 20) for c, b in zip(domain, base, strict=True)]
+        prior = prior if not keys[0] else [(c + 10 * b) / (sum(host) + 10) for c, b in zip(host, prior, strict=True)]
+        share = sum(suffix) / max(sum(every), 1.0)
+        of_suffix = [1.0] * k if not keys[2] else [(c + 200 * share + 1e-6) / (e + 200) for c, e in zip(suffix, every, strict=True)]
+        aims = [0.8 if name == keys[3] else 0.2 / k for name in names]
+        of_code = [1.0] * k if not keys[3] else [(c + 5 * a + 1e-6) / (e + 5) for c, a, e in zip(declared, aims, every, strict=True)]
+        q = [round(x, 6) for x in shares([t + math.log(p) + math.log(s) + math.log(d) for t, p, s, d in zip(logs, prior, of_suffix, of_code, strict=True)])]
+        best = max(q)
+        out.append((names[q.index(best)] if like and best >= language.SURE else "und", best if n else 0.0))
+    return out
+
+
+def test_fusion_equals_plain_loops(spark):
+    rng = np.random.default_rng(29)
+    bodies = {"xx": "aaab abaa baab aaba", "yy": "bbba babb abba", "zz": "cabc bcca abcc"}
+    model = language.fit_text([b.encode() for b in bodies.values()], list(bodies))
+    rows = []
+    for _ in range(70):
+        lang = str(rng.choice(list(bodies)))
+        words = rng.choice(bodies[lang].split(), int(rng.integers(0, 6))).tolist()
+        host = str(rng.choice(["h.one.com", "g.one.com", "two.org", ""]))
+        domain = ".".join(host.split(".")[-2:]) if host else ""
+        rows.append((" ".join(words), host, domain, domain.split(".")[-1], str(rng.choice([lang, "xx", "", "qq"]))))
+    rows += [(None, "", "", "", ""), ("Это не то", "h.one.com", "one.com", "com", "xx"), rows[3], rows[3]]
+    frame = spark.createDataFrame([(i, *r, 1.5) for i, r in enumerate(rows)], "id int, body string, host string, domain string, suffix string, _declared string, lang_id double").drop("lang_id")
+    got = {r["id"]: (r["lang_id"], r["confidence"]) for r in language.fused(frame, model, "body", language._plain).collect()}
+    for i, (lang, sure) in enumerate(plain_fusion(model, rows)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(sure, abs=2e-6), (i, rows[i])
+    assert len({lang for lang, _ in got.values()}) == 4
+
+
+def test_open_tags_take_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<script " * 200_000, "<" * 1_000_000, "<html " * 200_000, "<meta content-language " * 100_000, "<!-- " * 200_000):
+        text, code = language.page_parts(page + "x")
+        assert code == ""
+    assert language.page_parts("<p>a < b</p><script>no")[0].split() == ["a", "<", "b"]
+    assert time.perf_counter() - began < 20
+
+
 # --- 5: shingle join ---
 
 

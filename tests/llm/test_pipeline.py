@@ -78,6 +78,37 @@ def test_unlike_documents_of_one_id_both_stay(spark, small):
     assert kept == [(1, "a"), (1, "b")]
 
 
+def odd_rows(spark, small):
+    """Documents with nulls in every column, empty, letterless and long texts, repeated rows and ids, and columns named like ours."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    sample = [r["text"] for r in docs.where("lang = 'en' and n_chars > 300").orderBy("doc_id").limit(2).collect()]
+    fresh = " ".join(f"the and of ing{i} tion{i}" for i in range(12))
+    rows = [(9001, fresh, "en", None, None), (9001, fresh, "en", None, None), (None, "other the and of with " * 3 + sample[0][:100], None, "s", 3), (9002, None, None, None, None), (9003, "", "en", "s", 0), (9004, "%% 12", "en", "s", 5), (9005, (sample[1] + " ") * 40, "en", "s", 9)]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name in ("size", "taken", "first", "tid", "kept", "n_words", "_k1", "_copies", "lang_id", "ids", "root", "_text"):
+        odd = odd.withColumn(name, F.lit("clash"))
+    return odd
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, small):
+    odd = odd_rows(spark, small)
+    count = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), small).count() == 0
+        out = stage(spark, odd, small)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        count[name] = {}
+        for r in out.collect():
+            count[name][r["doc_id"]] = count[name].get(r["doc_id"], 0) + 1
+    kept = {name: [c.get(i, 0) for i in (9001, None, 9002, 9003, 9004, 9005)] for name, c in count.items()}
+    assert kept["language_id"] == [2, 1, 0, 0, 0, 1]
+    assert kept["near_duplicates"] == [1, 1, 1, 1, 1, 0]  # 9005 repeats one of the documents over and over, which adds no shingle
+    assert kept["repeated_passages"] == [0, 1, 1, 1, 1, 0]
+    assert kept["mix_sources"][2:4] == [0, 0] and all(n <= 6 for n in kept["mix_sources"])
+    assert kept["encode_pieces"] == [2, 1, 1, 1, 1, 1]
+
+
 def test_pieces_are_decoded(spark, small):
     import hashlib
 
