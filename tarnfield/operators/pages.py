@@ -49,3 +49,10 @@ def menus(raw: DataFrame) -> DataFrame:
         return html.map(menu_items)
 
     return raw.select("platform", F.explode(items("html")).alias("m")).select("m.*", "platform")
+
+
+def menu_index(raw: DataFrame, needed: str = "windows") -> DataFrame:
+    """Menus of all platforms in ``raw`` (html, platform); a page of the needed one must be there, others may lack (null html)."""
+    if raw.where((F.col("platform") == needed) & F.col("html").isNotNull()).isEmpty():
+        raise ValueError(f"no menu page of {needed}")
+    return menus(raw.where("html is not null"))

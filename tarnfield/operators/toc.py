@@ -67,3 +67,9 @@ def page_index(toc: DataFrame, ui: DataFrame) -> DataFrame:
         F.coalesce("toc_titles", none).alias("toc_titles"),
         F.coalesce("ui_names", none).alias("ui_names"),
     )
+
+
+def master_toc(raw: DataFrame, book_root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, on-screen names, lines) of the contents page in ``raw`` (html)."""
+    lines, names = toc_table(raw, book_root), ui_names(ui_map_table(raw, book_root))
+    return page_index(lines, names), names, lines

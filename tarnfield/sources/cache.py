@@ -5,19 +5,36 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
 from urllib.parse import urlparse
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield.plans.workspace import ship
+from tarnfield.functions.text import image_path, quoted_path
 from tarnfield.schemas import DOCS, FETCH
 
 Fetch = Callable[[str], tuple[int, bytes]]
 TRIES = 3
 
 
+def http_fetch(base_url: str, timeout: float = 30.0, agent: str = "tarnfield") -> Fetch:
+    """A fetcher of paths below ``base_url`` (or whole addresses) by HTTP; an error status is returned, other failures raise."""
+
+    def fetch(path: str) -> tuple[int, bytes]:
+        url = path if "://" in path else f"{base_url.rstrip('/')}/{path.lstrip('/')}"
+        try:
+            with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as answer:
+                return answer.status, answer.read()
+        except HTTPError as e:
+            return e.code, b""
+
+    return fetch
+
+
 def cached(spark: SparkSession, folder: str, glob: str = "*.*html") -> DataFrame:
     """path (below ``folder``) and html of every non-empty cached file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).where("length > 0")
@@ -70,6 +87,14 @@ def is_below(url: str, base: str) -> bool:
     return u.scheme in ("http", "https") and u.netloc == b.netloc and own[: len(root)] == root and ".." not in own
 
 
+def images(figures: DataFrame, have: DataFrame, fetch: Fetch, force: bool = False, tasks: int = 8, pause: float = 0.4) -> DataFrame:
+    """Fetch log of the distinct sources of ``figures`` (src) that aren't among the names in ``have`` (path), plus ``name``, the file in the flat image folder."""
+    wanted = figures.where("src <> ''").groupBy(image_path("src").alias("name")).agg(F.min(quoted_path("src")).alias("url"))
+    missing = wanted if force else wanted.join(have.select(image_path("path").alias("name")).distinct(), "name", "left_anti")
+    log = fetched(missing.select(F.col("url").alias("path")), fetch, tasks, pause)
+    return log.join(missing, log["path"] == missing["url"]).drop("url")
+
+
 def write_corpus(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").json(path)
 
@@ -84,6 +109,13 @@ def write_tables(folder: str, **tables: DataFrame) -> None:
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def save_knowledge(folder: str, pages: DataFrame, **others: DataFrame) -> None:
+    """The page index as one sorted JSON-lines file, contents and names beside it as they are."""
+    pages.coalesce(1).sortWithinPartitions("order", "path").write.mode("overwrite").json(f"{folder}/pages")
+    for name, table in others.items():
+        table.write.mode("overwrite").json(f"{folder}/{name}")
+
+
 def exists(spark: SparkSession, folder: str, *names: str) -> bool:
     """Whether all the tables have been written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -55,3 +55,51 @@ def test_incremental_index(spark, tmp_path):
     follow_postings(stream, "id", "text", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {(r["term"], r["tf"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 2), ("b", 1)}
+
+
+def test_http_fetch():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(200 if "there" in self.path else 404)
+            self.end_headers()
+            self.wfile.write(b"body")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/help"
+    fetch = cache.http_fetch(base)
+    assert fetch("there.html") == (200, b"body") and fetch("no.html") == (404, b"") and fetch(base + "/there") == (200, b"body")
+    server.shutdown()
+
+
+def test_images(spark):
+    figures = spark.createDataFrame([("img/a b.png",), ("img/a b.png",), ("img/c.png",), ("x/c.png",), ("img/have.png",), ("",)], "src string")
+    have = spark.createDataFrame([("cache/have.png",)], "path string")
+    log = {r["name"]: (r["path"], r["ok"]) for r in cache.images(figures, have, lambda p: (200, b"png"), tasks=2, pause=0).collect()}
+    assert log == {"a b.png": ("img/a%20b.png", True), "c.png": ("img/c.png", True)}
+
+
+def test_knowledge_and_menus(spark, tmp_path):
+    import json
+
+    from tarnfield.operators import pages, toc
+
+    link = '<a class="WebWorks_TOC_Link" href="b/{0}.shtml">{1}</a>'
+    page = f'<div id="toc:1"><ul><li>{link.format("y", "Launch Y")}</li><li>{link.format("x", "X")}</li></ul></div><a id="topic:0:k" href="b/z.shtml">Zed, Zet</a>'
+    index, names, lines = toc.master_toc(spark.createDataFrame([(page,)], "html string"), "b")
+    assert names.count() == 2 and lines.count() == 2
+    cache.save_knowledge(str(tmp_path), index, names=names)
+    (part,) = tmp_path.glob("pages/part-*.json")
+    rows = [json.loads(x) for x in part.read_text().splitlines()]
+    assert [(r["path"], r["title"], r["page_type"]) for r in rows] == [("b/y.shtml", "Launch Y", "launch"), ("b/x.shtml", "X", "concept"), ("b/z.shtml", "Zed", "concept")]
+    menu = "<table><caption>File Menu</caption><tr><td>Open</td><td>Opens</td></tr></table>"
+    raw = spark.createDataFrame([(menu, "windows"), (None, "macos")], "html string, platform string")
+    assert [r["platform"] for r in pages.menu_index(raw).collect()] == ["windows"]
+    with pytest.raises(ValueError, match="windows"):
+        pages.menu_index(raw.where("platform = 'macos'"))
