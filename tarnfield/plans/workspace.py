@@ -7,12 +7,16 @@ more than one stage, and each stage starts from a plain columnar scan.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -47,6 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function that gives its memory back when its task ends: workers live on, for other steps too."""
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return tidied
+
+
 class Workspace:
     """One operator's scratch folder; ``drop`` what later steps no longer read."""
 
