@@ -27,6 +27,7 @@ def kept_by_hash(rows: DataFrame, kind: Column, key: Column, n: int) -> DataFram
 def bounded_sample(rows: DataFrame, kind: Column, key: Column, n: int) -> list:
     """At most ``n`` distinct rows of each kind as ``(kind, row)``, in the order of ``key``'s hash; reruns agree."""
     fields = rows.columns
+    # Rows are few here: what the threshold leaves.
     once = kept_by_hash(rows, kind, key, n).groupBy("_kind", "_hash").agg(F.min(F.struct(*fields)).alias("row"))
     out, seen = [], {}
     for r in sorted(once.collect(), key=lambda r: (r["_hash"], str(r["_kind"]))):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.llm.sampling import bounded_sample
 from tarnfield.llm.superkmers import _parts
-from tarnfield.plans.workspace import ship
+from tarnfield.plans.workspace import Workspace, ship, tidy
 
 WINDOW, SPAN = 32, 64  # words of a window, windows of a pass
 SAMPLE = 3000  # labelled documents of each class to train on, at most
@@ -350,6 +350,7 @@ def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != "score"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["score double"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(*given.value)
         for batch in batches:
@@ -370,11 +371,18 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     If all documents of a class are over ``SAMPLE_CHARS``, their beginnings stand for them in training.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    given = docs.select("doc_id", "text").where(F.length("text") > 0).join(known, F.col("doc_id") == F.col("_id"))
-    short = F.length("text") <= SAMPLE_CHARS
-    have = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count(F.when(short, 1)).alias("n")).collect()}
-    usable = given.where(short | F.col("toxic").isin([k for k, n in have.items() if not n])).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for _, r in bounded_sample(usable, F.col("toxic"), F.xxhash64("doc_id", "text"), sample))
+    filled, key = docs.where(F.length("text") > 0), F.xxhash64("doc_id", "text").alias("key")
+    # Labels meet keys and lengths alone; only the texts of the sample, which is bounded, are fetched.
+    work = Workspace(docs.sparkSession, "toxicity")
+    narrow = filled.select("doc_id", key, (F.length("text") <= SAMPLE_CHARS).alias("short"))
+    narrow = work.save("labelled", narrow.join(known, F.col("doc_id") == F.col("_id")).select("key", "short", "toxic"))
+    have = {r["toxic"]: r["n"] for r in narrow.groupBy("toxic").agg(F.count(F.when(F.col("short"), 1)).alias("n")).collect()}
+    usable = narrow.where(F.col("short") | F.col("toxic").isin([k for k, n in have.items() if not n]))
+    chosen = [(r["key"], kind) for kind, r in bounded_sample(usable.select("key", "toxic"), F.col("toxic"), F.col("key"), sample)]
+    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "key long, toxic int"))
+    texts = filled.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), key).join(keys, "key").groupBy("key", "toxic").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in texts.collect())
+    work.drop("labelled")
     rows = [r for r in rows if words_of(r[1])]
     rows = [r for r in rows if len(words_of(r[1])) <= SAMPLE_WORDS or not have[r[2]]]
     return train([r[1] for r in rows], [r[2] for r in rows])
