@@ -19,6 +19,7 @@ from tarnfield.functions.vocabulary import Alias, matched_aliases, user_terms, v
 from tarnfield.operators import chat, chunks, evaluate, index, lookup, pages, retrieve, toc, tools
 from tarnfield.plans.workspace import Workspace
 from tarnfield.plugins import OverlapReranker
+from tarnfield.settings import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,6 +502,29 @@ def extract_paths(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.array_join(menu_paths(prose), ";").alias("paths"), F.array_join(sample_files(prose, ".csv"), ";").alias("samples"))
 
 
+@query("SELECT p_partkey, 'img/' || p_name || '+' || p_partkey || '%.png' AS src, p_name || '+' || p_partkey || '%.png' AS name, 'img/' || replace(p_name, ' ', '%20') || '%2B' || p_partkey || '%25.png' AS quoted, 'https://example.com/help/a/p' || p_partkey AS url FROM part")
+def image_sources(spark, d):
+    """Sources as pages write them: decoded, as a file name, quoted again; and a page's address."""
+    raw = F.concat(F.lit("..\\\\../img/"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("+"), F.col("p_partkey").cast("string"), F.lit("%25.png "))
+    src = text.image_src(F.replace(raw, F.lit("\\\\"), F.lit("\\")))
+    return table(spark, d, "part").select("p_partkey", src.alias("src"), text.image_path(src).alias("name"), text.quoted_path(src).alias("quoted"), text.page_url(F.lit("https://example.com/help//"), F.concat(F.lit("/a/p"), F.col("p_partkey").cast("string"))).alias("url"))
+
+
+@query("SELECT p_partkey, p_name || chr(10) || 'Note: ' || p_type || ' is here' || chr(10) || 'Analyze > Fit ' || p_brand AS plain, 'a b ' || p_name || chr(10) || 'c' AS spaced FROM part")
+def plain_views(spark, d):
+    md = F.concat(F.lit("### **"), "p_name", F.lit("**\n> **Note:** `"), "p_type", F.lit("` is *here*\nAnalyze > Fit "), "p_brand")
+    wide = F.concat(F.lit("\u2003 a \t\u00a0 b "), "p_name", F.lit("\nc\u00a0\t\n"))
+    return table(spark, d, "part").select("p_partkey", text.plain_view(md).alias("plain"), text.norm_ws(wide).alias("spaced"))
+
+
+@query("SELECT i.intent, 'Script Book' AS book, p.page_type, CASE WHEN i.intent = 'scripting' THEN 0.15 ELSE 0.15 * w END AS boost FROM (SELECT unnest(['scripting', 'what_is']) AS intent) i, (SELECT unnest(['reference', 'concept', 'report']) AS page_type) p JOIN (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{t}', {rules.WEIGHTS[i].get(t, 0)})" for i in ("scripting", "what_is") for t in ("reference", "concept", "report")) + ") AS v(i, t, w)) v ON v.t = p.page_type AND v.i = intent")
+def scripting_boost(spark, d):
+    """A scripting question prefers the books of the language, whatever the page type."""
+    pairs = spark.createDataFrame([(i, t) for i in ("scripting", "what_is") for t in ("reference", "concept", "report")], "intent string, page_type string")
+    settings = Settings(script_books=("Script Book",))
+    return retrieve.boosted(pairs.select("*", F.lit("Script Book").alias("book"), F.lit(0.0).alias("base")), "base", settings).select("intent", "book", "page_type", F.round("boost", 6).alias("boost"))
+
+
 def _toc(spark, d) -> DataFrame:
     region, nation, customer = (table(spark, d, n) for n in ("region", "nation", "customer"))
     a = region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("path"), F.col("r_name").alias("title"), F.lit(1).alias("depth"), F.col("r_regionkey").cast("long").alias("order"), F.lit(True).alias("is_folder"))
@@ -679,6 +703,53 @@ def transcript(spark, d):
     return chat.transcript(table(spark, d, "conversations")).select("conv_id", F.md5("transcript").alias("transcript_md5"))
 
 
+_LINE = "[text, substr(text, 1, 60), 'looking at ' || substr(text, 1, 20), substr(text, 1, 30) || '.', 'ab', substr(text, 1, 30) || ' !  '][turn % 6 + 1]"
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, trim({_LINE}, {_WS}) AS line FROM conversations)
+SELECT conv_id, turn, length(line) > 3 AND length(line) <= 90 AND NOT regexp_matches(line, '(?i){rules.PROSE.replace("'", "''")}') AND len(string_split_regex(line, '\\s+')) <= 14 AND NOT (ends_with(line, '.') OR ends_with(line, '!') OR ends_with(line, '?:')) AS ok FROM l""")
+def query_lines(spark, d):
+    """Which lines of a rewriter are queries and not prose."""
+    text_, short = F.col("text"), lambda n: F.substring("text", 1, n)
+    line = F.get(F.array(text_, short(60), F.concat(F.lit("looking at "), short(20)), F.concat(short(30), F.lit(".")), F.lit("ab"), F.concat(short(30), F.lit(" !  "))), (F.col("turn") % 6).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", rules.looks_like_query(line).alias("ok"))
+
+
+@query("""SELECT doc_id, doc_id % 9 + 1 AS rn, '[' || (doc_id % 9 + 1) || '] Page ' || doc_id AS line, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN 'Guide > ' || lang ELSE '' END, ''), nullif(source, ''), 'Page ' || doc_id) AS citation,
+md5(replace(substr(text, 1, 420) || CASE WHEN length(text) > 420 THEN '...' ELSE '' END, chr(10), ' ')) AS snippet_md5 FROM documents""")
+def source_lines(spark, d):
+    """Citations as they stand below an answer."""
+    docs = table(spark, d, "documents")
+    title = F.concat(F.lit("Page "), F.col("doc_id").cast("string"))
+    trail = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("Guide"), "lang")).otherwise(F.array().cast("array<string>"))
+    hits = docs.select(F.col("doc_id").alias("qid"), (F.col("doc_id") % 9 + 1).alias("rn"), title.alias("title"), F.lit("concept").alias("page_type"), retrieve.citation(trail, F.col("source"), title).alias("citation"), "text")
+    return chat.sources(hits).select(F.col("qid").alias("doc_id"), "rn", "line", "citation", F.md5("snippet").alias("snippet_md5"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 2 = 0 THEN '**Menu:** `File > ' || p_name || '` · `Edit`' END, CASE WHEN p_partkey % 3 = 0 THEN '**Sample data:** `' || p_type || '.csv`' END,
+CASE WHEN p_partkey % 5 = 0 THEN '**Also called:** `a` · `b` · `c`' END], lambda x: x IS NOT NULL), '  ' || chr(10)) AS chips FROM part""")
+def answer_chips(spark, d):
+    """What is shown beside an answer: three menu paths, samples and terms at most."""
+    none, k = F.array().cast("array<string>"), F.col("p_partkey")
+    menus = F.when(k % 2 == 0, F.array(F.concat(F.lit("File > "), "p_name"), F.lit("Edit"))).otherwise(none)
+    samples = F.when(k % 3 == 0, F.array(F.concat("p_type", F.lit(".csv")))).otherwise(none)
+    terms = F.when(k % 5 == 0, F.array(*[F.lit(x) for x in "abcd"])).otherwise(none)
+    return table(spark, d, "part").select("p_partkey", chat.chips(menus, samples, terms).alias("chips"))
+
+
+_PROMPT_SQL = "CASE i " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in chat.PROMPTS.items()) + f" ELSE '{chat.PROMPTS['how_to']}' END"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, {_rules_sql('q', rules.intent_rules(), rules.DEFAULT_INTENT)} AS known, q FROM (SELECT conv_id, turn, {_ASKED} AS q FROM conversations WHERE role = 'user')),
+k AS (SELECT *, CASE WHEN turn % 5 = 0 THEN 'unheard' ELSE known END AS i FROM q)
+SELECT conv_id, turn, md5(upper({_PROMPT_SQL} || chr(10) || chr(10) || 'Context of ' || conv_id || chr(10) || chr(10) || 'Question: ' || q)) AS answer_md5 FROM k""")
+def answers_generated(spark, d):
+    """Prompts by intent, the first one for an unknown intent, through a stand-in that thinks aloud and then shouts."""
+    rows = _asked(spark, d).select("conv_id", "turn", F.when(F.col("turn") % 5 == 0, "unheard").otherwise(rules.intent("q")).alias("intent"), F.col("q").alias("question"), F.concat(F.lit("Context of "), F.col("conv_id").cast("string")).alias("context"))
+    told = chat.answers(rows, lambda prompt: f"<think>let me see\n{len(prompt)}</think>\n {prompt}\n")
+    return told.select("conv_id", "turn", F.md5(F.upper("answer")).alias("answer_md5"))
+
+
 # --- quality ---
 
 
