@@ -742,12 +742,12 @@ _PROMPT_SQL = "CASE i " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in chat.PRO
 
 @query(f"""WITH q AS (SELECT conv_id, turn, {_rules_sql('q', rules.intent_rules(), rules.DEFAULT_INTENT)} AS known, q FROM (SELECT conv_id, turn, {_ASKED} AS q FROM conversations WHERE role = 'user')),
 k AS (SELECT *, CASE WHEN turn % 5 = 0 THEN 'unheard' ELSE known END AS i FROM q)
-SELECT conv_id, turn, md5(upper({_PROMPT_SQL} || chr(10) || chr(10) || 'Context of ' || conv_id || chr(10) || chr(10) || 'Question: ' || q)) AS answer_md5 FROM k""")
+SELECT conv_id, turn, md5({_PROMPT_SQL} || chr(10) || chr(10) || 'Context of ' || conv_id || chr(10) || chr(10) || 'Question: ' || q) AS answer_md5 FROM k""")
 def answers_generated(spark, d):
-    """Prompts by intent, the first one for an unknown intent, through a stand-in that thinks aloud and then shouts."""
+    """Prompts by intent, the first one for an unknown intent, through a stand-in that thinks aloud and repeats them."""
     rows = _asked(spark, d).select("conv_id", "turn", F.when(F.col("turn") % 5 == 0, "unheard").otherwise(rules.intent("q")).alias("intent"), F.col("q").alias("question"), F.concat(F.lit("Context of "), F.col("conv_id").cast("string")).alias("context"))
     told = chat.answers(rows, lambda prompt: f"<think>let me see\n{len(prompt)}</think>\n {prompt}\n")
-    return told.select("conv_id", "turn", F.md5(F.upper("answer")).alias("answer_md5"))
+    return told.select("conv_id", "turn", F.md5("answer").alias("answer_md5"))
 
 
 # --- quality ---
