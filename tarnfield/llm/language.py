@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.llm.sampling import kept_by_hash
-from tarnfield.plans.workspace import Workspace, ship
+from tarnfield.plans.workspace import Workspace, ship, tidy
 
 SAMPLE = 1500  # labelled texts per language that the trigram model is fitted on, at most
 SAMPLE_BYTES = 20_000  # longest of these; of a language that has only longer ones, their beginnings
@@ -95,6 +95,7 @@ def _evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], body: str, p
 
     told = "_declared" in rows.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = given.value
         for batch in batches:
@@ -133,15 +134,21 @@ def fused(rows: DataFrame, model: tuple[list[str], np.ndarray], body: str, parts
     work = Workspace(rows.sparkSession, "language")
     keep = [c for c in rows.columns if c not in (body, "_declared", "host", "domain", "suffix")]
     weight = F.least(F.col("_n").cast("double"), F.lit(TEXT_WEIGHT))
-    seen = _evidence(rows, model, body, parts).withColumn("_like", (F.col("_n") > 0) & (F.array_max("_t") >= UNLIKE)).withColumn("_t", F.transform("_t", lambda x: x * weight))
-    alone = F.transform(_shares(F.col("_t")), lambda p: F.when(F.col("_like"), F.round(p * _SCALE)).otherwise(0).cast("long"))
-    seen = work.save("evidence", seen.withColumn("_r", alone))
+
+    def told(given: DataFrame) -> DataFrame:
+        seen = _evidence(given, model, body, parts).withColumn("_like", (F.col("_n") > 0) & (F.array_max("_t") >= UNLIKE)).withColumn("_t", F.transform("_t", lambda x: x * weight))
+        alone = F.transform(_shares(F.col("_t")), lambda p: F.when(F.col("_like"), F.round(p * _SCALE)).otherwise(0).cast("long"))
+        return seen.withColumn("_r", alone)
+
+    # What is summed is written without the rows' other columns, and texts are read once more for their own verdict: nothing large is left behind.
+    key = ("host", "domain", "suffix")
+    seen = work.save("evidence", told(rows.select(body, *key, *(["_declared"] if "_declared" in rows.columns else []))).select(*key, "_declared", "_r"))
     sums = [F.coalesce(F.sum(F.get("_r", F.lit(i))), F.lit(0)) for i in range(k)]
     total = seen.agg(F.array(*sums).alias("s")).first()["s"]
     every = [x / _SCALE for x in total]
     base = _literal([(x + 1) / (sum(every) + k) for x in every])
 
-    joined = seen
+    joined = told(rows)
     for kind in ("domain", "host", "suffix", "_declared"):
         groups = seen.where(F.col(kind) != "").groupBy(F.col(kind).alias("_key")).agg(F.array(*sums).alias("_sums"))
         joined = joined.join(work.save(f"by{kind}", groups), F.col(kind) == F.col("_key"), "left").drop("_key")
@@ -184,6 +191,7 @@ def text_model(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
     usable = labelled.where(F.col("fits") | F.col("lang").isin(long)) if long else labelled.where("fits")
     chosen = kept_by_hash(usable.select("lang", "text", "key"), F.col("lang"), F.col("key"), sample).groupBy("_kind", "_hash").agg(F.min("text").alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, np.ndarray] = {}

@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.plans.workspace import Workspace
+from tarnfield.plans.workspace import Workspace, tidy
 
 SIDE = 576  # samples in a row of the image; payloads are padded to whole rows
 FILLER = b"\xff"
@@ -132,6 +132,7 @@ def pack_media(rows: DataFrame, payload: str, root: str, form: Callable[[bytes],
     keep = [c for c in rows.columns if c not in (*made, payload)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [INDEX])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(root, shard_bytes)
         by_text: dict[bytes, tuple] = {}
@@ -163,6 +164,7 @@ def _reading(index: DataFrame, root: str, made: str, read: Callable) -> DataFram
     keep = [c for c in index.columns if c not in names]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in index.select(*keep).schema] + [made])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(root)
         name, file, known = None, None, {}

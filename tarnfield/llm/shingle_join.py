@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.llm.graph import components
 from tarnfield.llm.superkmers import _binary, _Hashes, _is_in, _parts, _u, rolled, spread
-from tarnfield.plans.workspace import Workspace
+from tarnfield.plans.workspace import Workspace, tidy
 
 FREQUENT, STEP = 20, 100  # documents of a token, of those that tasks counted, to be in class 2; in class k with STEP**(k - 2) times as many
 TABLE = 1 << 20  # frequent tokens that are told to all tasks, 24 bytes each; where more qualify, FREQUENT rises until they fit
@@ -87,6 +87,7 @@ def frequent_tokens(work: Workspace, texts: DataFrame, words: int, least: int =
     The bound is found from a histogram, so the driver never gets more than ``table`` rows.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(words)
         for batch in batches:
@@ -169,6 +170,7 @@ def _combined(mixed: np.ndarray, common: np.ndarray, size: np.ndarray, missing:
 def _indexed(texts: DataFrame, given, words: int, percent: int, least: int, step: int) -> DataFrame:
     """tid, n, often, cells, sigs of each text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(words)
         frequent, counts, rank = given.value
@@ -208,6 +210,7 @@ def _verified(work: Workspace, texts: DataFrame, pairs: DataFrame, words: int, p
     heads = chunked.select("a", "chunk").distinct().join(few, F.col("a") == F.col("tid")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
     dealt = members.unionByName(heads).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, x = Shingles(words), None
         for batch in batches:
@@ -236,6 +239,7 @@ def _close(na, nb, percent: int):
 def _pass(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with na, nb, ca, cb that the cells don't rule out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             boxes = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("ca", "cb")]
@@ -290,16 +294,21 @@ def _text_keys(text: str) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), _body(text)), F.xxhash64(F.lit(2), _body(text))
 
 
-def _text_groups(work: Workspace, docs: DataFrame, text: str, first: Column, words: int, percent: int, least: int, step: int) -> tuple[DataFrame, DataFrame]:
-    """(distinct texts: t1, t2, text, first, tid; their groups: t1, t2, tid, first, n, root).
+def _once(docs: DataFrame, text: str, first: Column) -> DataFrame:
+    """t1, t2, text, first: a row for each distinct text."""
+    t1, t2 = _text_keys(text)
+    rows = docs.select(t1.alias("t1"), t2.alias("t2"), _body(text).alias("text"), first.alias("first"))
+    return rows.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.min("first").alias("first"))
+
+
+def _text_groups(work: Workspace, docs: DataFrame, text: str, first: Column, words: int, percent: int, least: int, step: int) -> DataFrame:
+    """Distinct texts and their groups: t1, t2, tid, first, n, root.
 
     ``first`` is the least value of that column among the rows of a text.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    t1, t2 = _text_keys(text)
-    once = docs.select(t1.alias("t1"), t2.alias("t2"), _body(text).alias("text"), first.alias("first")).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.min("first").alias("first"))
-    texts = work.save("texts", once.withColumn("tid", F.monotonically_increasing_id()))
+    texts = work.save("texts", _once(docs, text, first).withColumn("tid", F.monotonically_increasing_id()))
     work.release()
     frequent, counts = frequent_tokens(work, texts, words, least)
     rank = np.empty(len(frequent), np.int64)
@@ -331,9 +340,9 @@ def _text_groups(work: Workspace, docs: DataFrame, text: str, first: Column, wor
     roots = components(work, near.unionByName(far), "all")
     found = texts.select("t1", "t2", "tid", "first").join(index.select("tid", "n"), "tid").join(roots.toDF("tid", "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     found = work.save("found", found)
-    work.drop("lists", "sizes", "near-links", "far-links")
+    work.drop("texts", "lists", "sizes", "near-links", "far-links")
     work.release()
-    return texts, found
+    return found
 
 
 def text_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, percent: int = 90, least: int = FREQUENT, step: int = STEP) -> DataFrame:
@@ -350,8 +359,7 @@ def text_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     made = ("n_shingles", "component_id")
     keep = [c for c in docs.columns if c not in made]
     work = Workspace(docs.sparkSession, "shingles")
-    _, found = _text_groups(work, docs, text, F.col(doc_id).cast("long"), words, percent, least, step)
-    work.drop("texts")
+    found = _text_groups(work, docs, text, F.col(doc_id).cast("long"), words, percent, least, step)
     ids = found.groupBy("root").agg(F.min("first").alias("component"))
     named = found.join(ids, "root").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("n").alias("n_shingles"), "component")
     t1, t2 = _text_keys(text)
@@ -371,11 +379,12 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wor
     work = Workspace(docs.sparkSession, "one")
     bare = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     first = F.struct(F.col(doc_id).isNull().alias("_lacks"), F.col(doc_id).alias("_id"), *[F.col(c) for c in others])
-    texts, found = _text_groups(work, docs.where(~bare), text, first, words, percent, least, step)
-    # Texts that the component's best one stands for; few against all, and known by number alone.
+    found = _text_groups(work, docs.where(~bare), text, first, words, percent, least, step)
+    # Texts that the component's best one stands for; few against all. Texts are read once more: nothing large is left behind.
     best = found.groupBy("root").agg(F.min(F.struct("first", "t1", "t2", "tid")).alias("best")).select(F.col("best.tid").alias("tid"))
-    gone = work.save("gone", found.select("tid").join(best, "tid", "left_anti"))
-    kept = texts.join(gone, "tid", "left_anti")
+    gone = work.save("gone", found.select("t1", "t2", "tid").join(best, "tid", "left_anti").select("t1", "t2"))
+    work.drop("found")
+    kept = _once(docs.where(~bare), text, first).join(gone, ["t1", "t2"], "left_anti")
     fields = {doc_id: F.col("first._id"), text: F.col("text"), **{c: F.col(f"first.`{c}`") for c in others}}
     return kept.select(*[fields[c].alias(c) for c in docs.columns]).unionByName(docs.where(bare))
 

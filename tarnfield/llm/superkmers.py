@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.plans.workspace import Workspace
+from tarnfield.plans.workspace import Workspace, tidy
 
 WINDOW, MINIMISER = 35, 3
 LONGEST_RUN = 256  # windows in one packed string
@@ -136,6 +136,7 @@ def _parts(batch: pa.RecordBatch, name: str, most: int | None = None) -> Iterato
 def frequent_runs(work: Workspace, rows: DataFrame, buckets: int, total: int, minimiser: int = MINIMISER, most: int = FREQUENT_RUNS, part_bytes: int = PART_BYTES) -> np.ndarray:
     """Hashes of word runs in a tenth of a bucket's share of ``total`` places or more, sorted; if over ``most`` are, of those in so many more that at most ``most`` are left."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Hashes()
         for batch in batches:
@@ -212,6 +213,7 @@ def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def _cut(rows: DataFrame, frequent, buckets: int, flush_bytes: int, part_bytes: int) -> DataFrame:
     """Super-k-mers of all rows, as blobs for buckets."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sender, often = _Hashes(), _Sender(buckets), frequent.value
         top = _u(1 << 63)
@@ -341,6 +343,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", flush_bytes: int = FLUSH_B
     joined = keyed.join(per_row, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").drop("k1", "k2", "_k1", "_k2")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["n_words long", "n_removed long", "kept string"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
