@@ -15,7 +15,7 @@ from tarnfield.llm.language import UNDETERMINED, document_languages
 from tarnfield.llm.mixing import fair_mix
 from tarnfield.llm.shingle_join import one_of_each
 from tarnfield.llm.superkmers import drop_repeats
-from tarnfield.llm.wfst import MODEL, decode_ids, encode_texts, read_model
+from tarnfield.llm.wfst import MODEL, encode_texts, read_model
 from tarnfield.plans.workspace import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -67,8 +67,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no ids and decode to an empty one; every row stays.
     """
-    model = read_model(MODEL)
-    pieces = decode_ids(encode_texts(docs.select("doc_id", "lang", "source", "text"), model), model)
+    pieces = encode_texts(docs.select("doc_id", "lang", "source", "text"), read_model(MODEL), decoded=True)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return pieces.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 

@@ -38,7 +38,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarnfield.plans.workspace import ship
+from tarnfield.llm.superkmers import _parts
+from tarnfield.plans.workspace import ship, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -332,6 +333,13 @@ class Transducer:
             ids = array("i", [x for i, x in enumerate(ids) if x != self.unknown or not i or ids[i - 1] != x])
         return ids
 
+    def forget(self) -> None:
+        """Drops what has been remembered."""
+        for held in (self.units, self.joined):
+            held.clear()
+            held.before = {}
+        self.arcs.clear()
+
     def decode(self, ids) -> str:
         """The text of ``ids``, without the leading space that encoding adds."""
         out = self.out
@@ -354,21 +362,31 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """``docs`` plus ``ids`` array<int>. Null and empty texts have no ids; a column of that name is replaced."""
+def encode_texts(docs: DataFrame, model: bytes, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` plus ``ids`` array<int> and, if asked for, ``decoded``, what these ids read back as.
+
+    Null and empty texts have no ids; columns of these names are replaced.
+    """
     ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "ids"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["ids array<int>"])
+    made = ("ids", *["decoded"] * decoded)
+    keep = [c for c in docs.columns if c not in made]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["ids array<int>", *["decoded string"] * decoded])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _compiled(model)
-        for batch in batches:
-            flat, ends = array("i"), [0]
+        for batch in (part for whole in batches for part in _parts(whole, text)):
+            flat, ends, back = array("i"), [0], []
             for t in batch.column(text):
-                flat.extend(machine.encode(t.as_py() or ""))
+                ids = machine.encode(t.as_py() or "")
+                flat.extend(ids)
                 ends.append(len(flat))
+                if decoded:
+                    back.append(machine.decode(ids))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(memoryview(flat) if flat else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], names=[*keep, "ids"])
+            more = [pa.array(back, pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids, *more], names=[*keep, *made])
+        machine.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -379,11 +397,14 @@ def decode_ids(rows: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     keep = [c for c in rows.columns if c != "decoded"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + ["decoded string"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _compiled(model)
-        for batch in batches:
-            texts = [machine.decode(x or ()) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):  # so that few texts are held twice
+                batch = whole.slice(at, 500)
+                texts = [machine.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in batch.column(ids)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
     return rows.mapInArrow(run, schema)
 
@@ -398,6 +419,7 @@ def document_pieces(docs: DataFrame, path: str = MODEL) -> DataFrame:
     ship(docs.sparkSession)
     model = read_model(path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _compiled(model)
         for batch in batches:
@@ -415,6 +437,7 @@ def document_pieces(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "decoded_sha256", "round_trip"],
             )
+        machine.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

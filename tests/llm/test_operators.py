@@ -670,6 +670,8 @@ def test_pieces_equal_the_library(spark, odd, small):
     ids = wfst.encode_texts(odd.withColumn("ids", F.lit(1)), wfst.read_model(wfst.MODEL))
     back = wfst.decode_ids(ids, wfst.read_model(wfst.MODEL))
     assert back.where("decoded <> replace(coalesce(text, ''), '\u2581', ' ')").count() == 0
+    both = wfst.encode_texts(odd.withColumn("decoded", F.lit(2)), wfst.read_model(wfst.MODEL), decoded=True)
+    assert keyed((r["doc_id"], r["ids"], r["decoded"]) for r in both.collect()) == keyed((r["doc_id"], r["ids"], r["decoded"]) for r in back.collect())
     assert wfst.document_pieces(odd.limit(0)).count() == 0
 
 
