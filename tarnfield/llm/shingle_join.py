@@ -19,8 +19,11 @@ Lists are not expanded into pairs. Every member is first verified against its
 list's pivot, the member with most frequent tokens (in a group of near copies,
 the text they derive from). Only members of one list that are in different
 components after that are compared with each other, in blocks, behind an upper
-bound on their overlap from counts of tokens in 128 cells. Verification reads
-whole texts. Components, which is what is asked for, come out whole.
+bound on their overlap from counts of tokens in 128 cells. Near copies share
+many lists, so a pair is made in the list of its least shared signature only: a
+list leaves out pairs whose least ``LOW`` signatures already hold a lower one in
+common, which is where that pair is met. Verification reads whole texts.
+Components, which is what is asked for, come out whole.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ SMALL = 32  # sets below this size use single tokens only
 CELLS = 128
 BLOCK = 2000  # members of a list compared at once
 SIDE = 500  # of these, in one array operation
+LOW = 32  # least signatures of a member by which a list knows pairs of lower lists; moves no result, only how often a pair is made
 CHUNK = 256  # members that are verified against one copy of their pivot's text
 _C = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LOWER = bytes(range(256)).lower()
@@ -249,18 +253,44 @@ def _pass(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _lowest(lists: DataFrame) -> DataFrame:
+    """tid, low: the ``LOW`` least signatures of each member, ascending."""
+    return lists.groupBy("tid").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOW).alias("low"))
+
+
+def _padded(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of at most ``LOW`` numbers, filled up with the greatest one."""
+    rows = column.combine_chunks()
+    size = np.diff(rows.offsets.to_numpy())
+    out = np.full((len(size), LOW), np.iinfo(np.int64).max)
+    out[np.arange(LOW) < size[:, None]] = rows.flatten().to_numpy()
+    return out
+
+
+def _met_before(a: np.ndarray, b: np.ndarray, sig: int) -> np.ndarray:
+    """Whether the rows of ``a`` and ``b`` share a number below ``sig``."""
+    met = np.zeros(len(a), bool)
+    for k in range(LOW):
+        x = b[:, k : k + 1]
+        if not (x < sig).any():
+            break
+        met |= ((a == x) & (x < sig)).any(1)
+    return met
+
+
 def _across(lists: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs of members (sig, tid, n, cells, root, pivot, members) of one list in different components, block by block."""
+    """Pairs of members (sig, tid, n, cells, low, root, pivot, members) of one list in different components, block by block; hardly any twice."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
     spread_out = lists.select("*", own.alias("_own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
     spread_out = spread_out.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")})
-    keyed = spread_out.select("sig", "i", "j", F.col("_own").alias("own"), "tid", "n", "cells", "root", "pivot", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(parts)).alias("bucket"))
+    keyed = spread_out.select("sig", "i", "j", F.col("_own").alias("own"), "tid", "n", "cells", "low", "root", "pivot", F.pmod(F.xxhash64("sig", "i", "j"), F.lit(parts)).alias("bucket"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending"), ("tid", "ascending")])
         sig, i, j, own, tid, n, root, pivot = (table.column(c).to_numpy() for c in ("sig", "i", "j", "own", "tid", "n", "root", "pivot"))
         boxes = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        low = _padded(table.column("low"))
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         starts = np.append(np.flatnonzero(new), len(sig))
@@ -279,11 +309,13 @@ def _across(lists: DataFrame, parts: int, percent: int) -> DataFrame:
                     for k in range(0, len(p), 20_000):
                         a, b = p[k : k + 20_000], q[k : k + 20_000]
                         may = _may_link(boxes[a], boxes[b], n[a], n[b], percent)
-                        found.append(np.sort(np.stack([tid[a[may]], tid[b[may]]], 1), axis=1))
+                        a, b = a[may], b[may]
+                        new_here = ~_met_before(low[a], low[b], sig[s])
+                        found.append(np.sort(np.stack([tid[a[new_here]], tid[b[new_here]]], 1), axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return keyed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return keyed.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def _body(text: str) -> Column:
@@ -335,12 +367,14 @@ def _text_groups(work: Workspace, docs: DataFrame, text: str, first: Column, wor
     roots = components(work, near, "first")
     placed = lists.where("members > 2").join(roots.toDF("tid", "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("sig")
-    rest = _across(placed.join(mixed, "sig", "left_semi").join(boxes, "tid"), 4 * parts, percent)
+    placed = work.save("mixed", placed.join(mixed, "sig", "left_semi"))
+    work.release()
+    rest = _across(placed.join(boxes.join(_lowest(placed), "tid"), "tid"), 4 * parts, percent).distinct()
     far = _verified(work, texts, rest, words, percent, "far")
     roots = components(work, near.unionByName(far), "all")
     found = texts.select("t1", "t2", "tid", "first").join(index.select("tid", "n"), "tid").join(roots.toDF("tid", "root"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     found = work.save("found", found)
-    work.drop("texts", "lists", "sizes", "near-links", "far-links")
+    work.drop("texts", "lists", "mixed", "sizes", "near-links", "far-links")
     work.release()
     return found
 

@@ -513,6 +513,19 @@ def test_shingle_join(spark, odd):
     assert shingle_join.document_components(odd.limit(0)).count() == 0
 
 
+def test_a_pair_is_made_in_its_lowest_list_only(spark, monkeypatch):
+    made, given = [], type(spark.range(1).groupBy("id")).applyInArrow
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", lambda *args: made.append(given(*args)) or made[-1])
+    box = bytearray(shingle_join.cells(np.arange(10, dtype=np.uint64)))
+    # 1 and 2 share forty lists; 3 and 4 only such as come after all that either tells of itself
+    own = {0: range(100), 1: range(40), 2: range(40), 3: [*range(200, 250), 900, 901], 4: [*range(300, 350), 900, 901], 9: [900, 901]}
+    rows = [(sig, tid, 10, box, tid, 9 if sig > 199 else 0, 3, sorted(sigs)[:32]) for tid, sigs in own.items() for sig in sigs]
+    lists = spark.createDataFrame(rows, "sig long, tid long, n long, cells binary, root long, pivot long, members long, low array<long>")
+    got = {(r["a"], r["b"]) for r in shingle_join._across(lists, 64, 90).collect()}
+    assert got == {(1, 2), (3, 4)}
+    assert made[0].where("a = 1").count() == 1
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(6)
     pool = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
