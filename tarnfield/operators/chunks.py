@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.functions.text import fold
-from tarnfield.functions.vocabulary import Alias, user_terms
+from tarnfield.functions.vocabulary import Alias, terms_of
 from tarnfield.plans.workspace import ship
 from tarnfield.settings import Settings
 
@@ -109,5 +109,4 @@ def chunks(docs: DataFrame, aliases: list[Alias], settings: Settings = Settings(
         F.concat("path", F.lit("#"), F.col("ord").cast("string")).alias("chunk_id"), "path", "url", "title", "book", "breadcrumb", "section", "page_type", "text", F.length("text").alias("n_chars"),
         chunk_figures(F.col("figures"), F.col("text")).alias("figures"), paths.alias("menu_paths"), F.filter("sample_data", lambda s: F.contains(F.col("text"), s)).alias("sample_data"), "ui_names", "ord",
     )
-    terms = user_terms(out, "chunk_id", F.concat("title", F.lit("\n"), "text"), aliases).withColumnRenamed("user_terms", "alias_terms")
-    return out.join(terms, "chunk_id")
+    return out.withColumn("alias_terms", terms_of(F.concat("title", F.lit("\n"), "text"), aliases, "vendor", 24))  # in the row: a join would parse every page again

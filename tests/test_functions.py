@@ -67,6 +67,14 @@ def test_vocabulary_is_word_bounded_and_ordered(spark):
     assert found == {1: ["Table Maker", "Forest Builder"], 2: [], 3: []}
 
 
+def test_terms_of_a_row_are_distinct_by_fold_in_order_of_appearance(spark):
+    aliases = [Alias("a", ("One", "TWO"), ("x", "y z")), Alias("b", ("two", "Three's"), ("x", "z")), Alias("c", (), ("y z q",))]
+    rows = spark.createDataFrame([(1, "z X z"), (1, "Y Z, x"), (2, "y z q"), (None, "x")], "id int, q string")
+    found = [(r["id"], r["vendor_terms"]) for r in vendor_terms(rows, "id", F.col("q"), aliases).collect()]
+    assert found == [(1, ["two", "Three's", "One"]), (1, ["One", "TWO", "Three's"]), (2, []), (None, ["One", "TWO", "Three's"])]
+    assert [r["vendor_terms"] for r in vendor_terms(rows, "id", F.col("q"), aliases, 2).collect()][0] == ["two", "Three's"]
+
+
 PAGE = """<html><head><link rel="Prev" href="a.shtml#x"></head><body>
 <div class="ww_skin_breadcrumbs"><a>Guide</a> &gt; <a>Charts</a></div><div class="ww_creation_date">Publication date: 01/02/2020</div>
 <div id="page_content"><div class="miniTOC_x">skip</div><h1>Bar <b>Chart</b></h1><p>First <i>line</i><br>more</p>
