@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,22 @@ def test_chunks_inherit(spark):
     got = chunks.chunks(pages.documents(raw), [Alias("a", ("Bar",), ("column graph",))]).collect()
     assert [r["chunk_id"] for r in got] == ["p#0"]
     assert got[0]["alias_terms"] == ["column graph"] and [f["src"] for f in got[0]["figures"]] == ["img/bar.png"]
+
+
+def test_plain_pages_parse_as_the_standard_parser_does():
+    from tarnfield import catalog
+
+    def standard(page):
+        tree = html._Tree()
+        tree.feed(page)
+        tree.close()
+        return tree.root
+
+    written = "".join({"K": "7", "N": "a &lt; b", "T": "T&amp;T &copy &notit; &#65"}.get(x, x) for x in catalog._PAGE_HTML)
+    assert html._plain_tree(written).root == standard(written)
+    odd = ["", "a", "a & b &amp", "&am", "x &lt", "<P CLASS=\"A&quot;b\" class=\"c\">t</P>", "<p a=\"1\"\n b-c=\"&copy=1\">", "</p>", "<p><p></div><li><li></ul>", "<td>1<td>2<tr>3", "\r\n<b>\x00</b>", "<br><img src=\"a b\">x",
+           "<br/>", "<p a=1>", "<p a>", "<!-- c --><b>", "<!DOCTYPE html><p>", "<script>a<b</script>c", "<title>a<b></title>", "a < b", "<p", "<a b=\"c", "<p a=\"1\"b=\"2\">", "<x:y>", "</p >", "<a-b>", "<p \x0ca=\"1\">", "<?x>", "<p a=\"<\">", "é<İ>", "<plaintext>a<b>"]
+    rng = random.Random(5)
+    for page in [*odd, PAGE, *["".join(rng.choices(odd, k=6)) for _ in range(400)]]:
+        assert html.parse(page) == standard(page), page
+    assert html.parse(None) == standard("")
